@@ -9,26 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assayer.functions.common import let
+
 # fixed value: fingerprint length
 N_BITS = 2048
 
 
-def _grams(units: Column, n: int, glue: str) -> Column:
-    last = F.size(units) - n + 1
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-        lambda i: F.array_join(F.slice(units, i, n), glue),
-    )
-
-
 def char_grams(text: Column, n: int = 3) -> Column:
-    """Character n-grams; a shorter text is its own single gram."""
-    return _grams(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), n, "")
+    """Overlapping character n-grams in one pattern pass; a shorter text is its own single gram."""
+    overlapping = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.when(F.length(text) < n, F.array(text)).otherwise(overlapping)
 
 
 def word_grams(text: Column, n: int = 1) -> Column:
     """Word n-grams over white space; a shorter text is its own single gram."""
-    return _grams(F.split(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")), " "), n, " ")
+    def windows(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)]))
+    words = F.split(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")), " ")
+    return words if n == 1 else let(words, windows)
 
 
 def gram_bit(gram: Column, n_bits: int = N_BITS) -> Column:
@@ -60,15 +59,17 @@ def pack_words(bits: Column, n_words: int) -> Column:
 
 def tanimoto(a: Column, b: Column) -> Column:
     """Shared over united bits; two empty fingerprints have similarity 0."""
-    both = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - both
-    return F.when(either == 0, F.lit(0.0)).otherwise(both / either)
+    total = F.size(a) + F.size(b)
+    return let(
+        F.size(F.array_intersect(a, b)),
+        lambda both: F.when(total == 0, F.lit(0.0)).otherwise(both / F.nullif(total - both, F.lit(0))),
+    )
 
 
 def tanimoto_words(a: Column, b: Column) -> Column:
     both = _ones(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
     either = _ones(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)))
-    return F.when(either == 0, F.lit(0.0)).otherwise(both / either)
+    return F.when(either == 0, F.lit(0.0)).otherwise(both / F.nullif(either, F.lit(0)))
 
 
 def hamming_words(a: Column, b: Column) -> Column:

@@ -12,6 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.common import let
+
 
 class Rule(NamedTuple):
     rule_set: str
@@ -34,18 +36,23 @@ def _broken(df: DataFrame, rules: Sequence[Rule]) -> str | None:
 
 
 def _result(df: DataFrame, item: Column, name: str, rules: Sequence[Rule]) -> Column:
+    def outcome(ok: Column, status: Column, reasons: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("rule_set"), ok.alias("pass_filter"), status.alias("status"), reasons.alias("reasons")
+        )
+
     error = _broken(df, rules)
     if error is not None:
-        reasons = F.lit(f"Filter failed: {error}")
-        hit, status = F.lit(True), F.lit("FILTER_ERROR")
-    else:
-        hits = F.array(*[F.when(item.rlike(r.pattern), F.lit(r.name)) for r in rules])
-        found = F.array_sort(F.array_distinct(F.filter(hits, lambda h: h.isNotNull())))
-        hit = F.size(found) > 0
-        reasons = F.when(hit, F.array_join(found, ";"))
-        status = F.when(hit, F.lit("exclude")).otherwise(F.lit("ok"))
-    return F.struct(
-        F.lit(name).alias("rule_set"), (~hit).alias("pass_filter"), status.alias("status"), reasons.alias("reasons")
+        return outcome(F.lit(False), F.lit("FILTER_ERROR"), F.lit(f"Filter failed: {error}"))
+    # a NULL entry for every rule that does not match
+    hits = F.array(*[F.when(item.rlike(r.pattern), F.lit(r.name)) for r in rules])
+    return let(
+        F.array_sort(F.array_distinct(F.array_compact(hits))),
+        lambda found: outcome(
+            F.size(found) == 0,
+            F.when(F.size(found) == 0, F.lit("ok")).otherwise(F.lit("exclude")),
+            F.when(F.size(found) > 0, F.array_join(found, ";")),
+        ),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assayer.functions.common import let
+
 # fixed values: element symbols accepted in a library and in the 3-D step
 LIBRARY_SYMBOLS = ["C", "H", "O", "N", "S", "P", "F", "Cl", "Br", "I"]
 STEP_3D_SYMBOLS = ["C", "H", "O", "N", "S", "P", "F", "Cl", "Br", "I", "B", "Si"]
@@ -28,9 +30,11 @@ def offending_tokens(item: Column, pattern: str, allowed: Sequence[str]) -> Colu
 
 def largest_fragment(item: Column, sep: str = r"\.") -> Column:
     """The longest part between separators; the first of equally long ones."""
-    parts = F.split(item, sep)
-    longest = F.array_max(F.transform(parts, F.length))
-    return F.get(F.filter(parts, lambda p: F.length(p) == longest), F.lit(0))
+    def pick(parts: Column) -> Column:
+        # longest first, then by place: a struct compares field by field
+        sized = F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), (-i).alias("place"), p.alias("part")))
+        return F.array_max(sized).getField("part")
+    return let(F.split(item, sep), pick)
 
 
 def first_number(tag_value: Column) -> Column:
