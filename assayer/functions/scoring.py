@@ -133,11 +133,13 @@ def min_max(value: Column, low: Column, high: Column) -> Column:
     return F.when(low == high, F.lit(0.5)).otherwise((value - low) / F.nullif(high - low, F.lit(0.0)))
 
 
+def round_half_even(value: Column, digits: int) -> Column:
+    """Rounded after scaling, halves to even."""
+    scale = F.lit(float(10**digits))
+    return F.rint(value * scale) / scale
+
+
 def rounded_for_export(df: DataFrame, digits: int = 3) -> DataFrame:
     """All fractional columns rounded half-even."""
-    return df.select(
-        *[
-            F.bround(f.name, digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    fractional = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: round_half_even(F.col(c), digits) for c in fractional})

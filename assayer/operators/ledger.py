@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.scoring import round_half_even
 from assayer.operators.cleaning import drop_artifacts
 from assayer.operators.ranking import best_n_per_group
 
@@ -36,8 +37,8 @@ def round_stats(df: DataFrame, n: int | Column, by: str = "round", score: str =
     """Mean, sample SD, least and greatest of the best n scores of each round, two decimals."""
     best = best_n_per_group(df.select(by, score, tie), [by], score, n, tie)
     return best.groupBy(by).agg(
-        F.bround(F.avg(score), 2).alias("mean"),
-        F.bround(F.stddev_samp(score), 2).alias("sd"),
-        F.bround(F.min(score), 2).alias("min"),
-        F.bround(F.max(score), 2).alias("max"),
+        round_half_even(F.avg(score), 2).alias("mean"),
+        round_half_even(F.stddev_samp(score), 2).alias("sd"),
+        round_half_even(F.min(score), 2).alias("min"),
+        round_half_even(F.max(score), 2).alias("max"),
     )

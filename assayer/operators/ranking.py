@@ -50,8 +50,8 @@ def _bucket_offsets(bucketed: DataFrame, by: Sequence[str], n: Column, bucket: s
         bucket,
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("_values").over(before), F.lit(0)).alias("_values_before"),
-        F.sum("_rows").over(group).alias("total"),
-        F.sum("_values").over(group).alias("distinct_total"),
+        F.sum("_rows").over(group).alias("pos_total"),
+        F.sum("_values").over(group).alias("pos_distinct"),
     )
 
 
@@ -64,43 +64,43 @@ def _join_offsets(bucketed: DataFrame, offsets: DataFrame, by: Sequence[str], bu
 def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
     """One row per distinct non-null value (per group).
 
-    Columns: ``*by, value, n`` (rows with that value), ``before`` (rows with a smaller
-    one), ``index`` (distinct smaller values), ``total`` and ``distinct_total``.
+    Columns: ``*by, value, pos_n`` (rows with that value), ``pos_before`` (rows with a
+    smaller one), ``pos_index`` (distinct smaller values), ``pos_total`` and ``pos_distinct``.
     """
     by = list(by)
     present = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("pos_n"))
     bucketed = _with_bucket(counts, counts, value, by, buckets)
-    offsets = _bucket_offsets(bucketed, by, F.col("n"))
+    offsets = _bucket_offsets(bucketed, by, F.col("pos_n"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(value)
     running = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = bucketed.withColumn("_local", F.coalesce(F.sum("n").over(running), F.lit(0))).withColumn(
+    local = bucketed.withColumn("_local", F.coalesce(F.sum("pos_n").over(running), F.lit(0))).withColumn(
         "_local_index", F.row_number().over(inside) - 1
     )
     return _join_offsets(local, offsets, by).select(
         *by,
         value,
-        "n",
-        (F.col("_rows_before") + F.col("_local")).alias("before"),
-        (F.col("_values_before") + F.col("_local_index")).alias("index"),
-        "total",
-        "distinct_total",
+        "pos_n",
+        (F.col("_rows_before") + F.col("_local")).alias("pos_before"),
+        (F.col("_values_before") + F.col("_local_index")).alias("pos_index"),
+        "pos_total",
+        "pos_distinct",
     )
 
 
 def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Rank from 1 with ties averaged; NULL and NaN get a NULL rank."""
     pos = value_positions(df, value, by)
-    low = F.col("total") - F.col("before") - F.col("n") if descending else F.col("before")
-    table = pos.select(*by, value, "n", "total", (low + (F.col("n") + 1) / 2.0).alias(out))
+    low = F.col("pos_total") - F.col("pos_before") - F.col("pos_n") if descending else F.col("pos_before")
+    table = pos.select(*by, value, "pos_n", "pos_total", (low + (F.col("pos_n") + 1) / 2.0).alias(out))
     return attach_by_key(df, table, [*by, value], [out])
 
 
 def dense_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Dense rank from 1 over distinct values; NULL and NaN get a NULL rank."""
     pos = value_positions(df, value, by)
-    place = F.col("distinct_total") - F.col("index") if descending else F.col("index") + 1
-    table = pos.select(*by, value, "n", "total", place.cast("long").alias(out))
+    place = F.col("pos_distinct") - F.col("pos_index") if descending else F.col("pos_index") + 1
+    table = pos.select(*by, value, "pos_n", "pos_total", place.cast("long").alias(out))
     return attach_by_key(df, table, [*by, value], [out])
 
 
@@ -111,9 +111,9 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     v = F.col(value).cast("double")
     aggs = []
     for i, p in enumerate(probs):
-        place = (F.col("total") - 1) * F.lit(float(p))
+        place = (F.col("pos_total") - 1) * F.lit(float(p))
         for name, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            hit = (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
+            hit = (F.col("pos_before") <= at) & (at < F.col("pos_before") + F.col("pos_n"))
             aggs.append(F.max(F.when(hit, v)).alias(f"_{name}{i}"))
         aggs.append(F.max(place - F.floor(place)).alias(f"_f{i}"))
     grouped = pos.groupBy(*by).agg(*aggs)
@@ -148,6 +148,11 @@ def top_k(df: DataFrame, k: int, order: Sequence[tuple[str, bool]]) -> DataFrame
     return _threshold_top_k(df, F.lit(k), order)
 
 
+def best_share(df: DataFrame, k: Column, order: Sequence[tuple[str, bool]]) -> DataFrame:
+    """``top_k`` for a k that is itself computed (a scalar subquery), always by the cut value."""
+    return _threshold_top_k(df, k, order)
+
+
 def _threshold_top_k(df: DataFrame, k: Column, order: Sequence[tuple[str, bool]]) -> DataFrame:
     (column, up), rest = order[0], order[1:]
     numeric = dict(df.dtypes)[column] != "string"
@@ -158,8 +163,8 @@ def _threshold_top_k(df: DataFrame, k: Column, order: Sequence[tuple[str, bool]]
             "_key", F.conv(F.rpad(F.substring(F.hex(F.encode(column, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
         )
     pos = value_positions(df, key)
-    ahead = F.col("before") if up else F.col("total") - F.col("before") - F.col("n")
-    edge = pos.filter((ahead < k) & (ahead + F.col("n") >= k)).agg(F.max(key).alias("at"), F.max(k - ahead).alias("left"))
+    ahead = F.col("pos_before") if up else F.col("pos_total") - F.col("pos_before") - F.col("pos_n")
+    edge = pos.filter((ahead < k) & (ahead + F.col("pos_n") >= k)).agg(F.max(key).alias("at"), F.max(k - ahead).alias("left"))
     at = edge.select("at").scalar()
     left = edge.select("left").scalar()
     inside = F.col(key) < at if up else F.col(key) > at
@@ -184,14 +189,14 @@ def best_n_per_group(
     present = df.filter(F.col(value).isNotNull())
     n = F.lit(n) if isinstance(n, int) else n
     pos = value_positions(present, value, by)
-    ahead = F.col("total") - F.col("before") - F.col("n") if descending else F.col("before")
-    cut = pos.withColumn("_ahead", ahead).filter(F.col("_ahead") < n).withColumn("_rows", F.col("n"))
+    ahead = F.col("pos_total") - F.col("pos_before") - F.col("pos_n") if descending else F.col("pos_before")
+    cut = pos.withColumn("_ahead", ahead).filter(F.col("_ahead") < n).withColumn("_rows", F.col("pos_n"))
     kept = attach_by_key(present, cut, [*by, value], ["_ahead", "_rows"]).filter(F.col("_ahead").isNotNull())
     room = n - F.col("_ahead")
     whole = kept.filter(F.col("_rows") <= room)
     # one value per group reaches the cut, so the tie order within the group decides
     edge = kept.filter(F.col("_rows") > room).withColumn("_room", room)
-    places = value_positions(edge.select(*by, tie), tie, by).select(*by, tie, F.col("before").alias("_place"))
+    places = value_positions(edge.select(*by, tie), tie, by).select(*by, tie, F.col("pos_before").alias("_place"))
     part = edge.join(places, [*by, tie]).filter(F.col("_place") < F.col("_room"))
     return whole.select(*df.columns).unionByName(part.select(*df.columns))
 
@@ -199,7 +204,7 @@ def best_n_per_group(
 def ordered_rank(df: DataFrame, value: str, tie: str, out: str, by: Sequence[str], descending: bool = False) -> DataFrame:
     """Rank from 1 without ties: by value, then by ``tie``."""
     pos = value_positions(df, value, by)
-    ahead = F.col("total") - F.col("before") - F.col("n") if descending else F.col("before")
+    ahead = F.col("pos_total") - F.col("pos_before") - F.col("pos_n") if descending else F.col("pos_before")
     ranked = attach_by_key(df, pos.withColumn("_ahead", ahead), [*by, value], ["_ahead"])
     same = Window.partitionBy(*by, value).orderBy(tie)
     return ranked.withColumn(out, (F.col("_ahead") + F.row_number().over(same)).cast("long")).drop("_ahead")

@@ -12,7 +12,7 @@ SPREAD = 1024
 
 
 def attach_by_key(df: DataFrame, table: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Left join of a per-key table that carries ``n`` (rows of ``df`` with the key) and ``total``.
+    """Left join of a per-key table that carries ``pos_n`` (rows of ``df`` with the key) and ``pos_total``.
 
     A key above ``total / HOT_KEYS`` rows is hot; there can be at most ``HOT_KEYS`` of
     them, so they are broadcast.  All other keys go through an ordinary shuffle join,
@@ -20,9 +20,9 @@ def attach_by_key(df: DataFrame, table: DataFrame, keys: Sequence[str], columns:
     """
     keys, columns = list(keys), list(columns)
     plain = [f"_k{i}" for i in range(len(keys))]
-    hot_row = F.col("n") * F.lit(HOT_KEYS) > F.col("total")
-    if "n" not in table.columns or "total" not in table.columns:
-        raise ValueError("the table needs the columns n and total")
+    hot_row = F.col("pos_n") * F.lit(HOT_KEYS) > F.col("pos_total")
+    if "pos_n" not in table.columns or "pos_total" not in table.columns:
+        raise ValueError("the table needs the columns pos_n and pos_total")
     hot = table.filter(hot_row).select(
         *[F.col(k).alias(p) for k, p in zip(keys, plain)],
         *[F.col(c).alias(f"_hot_{c}") for c in columns],

@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.scoring import round_half_even
 from assayer.operators.geometry import TERMS, contact_features, contacts, feature_names, with_terms
 
 
@@ -27,6 +28,6 @@ def as_features(table: DataFrame, out: str = "features") -> DataFrame:
 def score_complexes(table: DataFrame, model: Model, complex_id: str = "complex_id") -> tuple[DataFrame, DataFrame]:
     """The features and the predicted affinities, both with four decimals."""
     names = feature_names() + TERMS
-    rounded = table.select(complex_id, *[F.bround(F.col(f"`{n}`"), 4).alias(n) for n in names])
-    scored = model.transform(as_features(table)).select(complex_id, F.bround("prediction", 4).alias("predicted_affinity"))
+    rounded = table.select(complex_id, *[round_half_even(F.col(f"`{n}`"), 4).alias(n) for n in names])
+    scored = model.transform(as_features(table)).select(complex_id, round_half_even(F.col("prediction"), 4).alias("predicted_affinity"))
     return rounded, scored

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.scoring import round_half_even
 from assayer.operators.joins import not_in, scores_by_model
 from assayer.operators.ranking import average_rank, top_k
 
@@ -42,7 +43,7 @@ def next_batch(scores: DataFrame, models: Sequence[str], k: int, ledger: DataFra
 
 def choose_models(metrics: DataFrame, n: int) -> DataFrame:
     """Round-one choice: drop perfect validation and overfitted training fits, then best validation R2 first."""
-    fit = metrics.filter((F.col("r2_val") != 1) & (F.bround("r2_train", 2) < 0.90))
+    fit = metrics.filter((F.col("r2_val") != 1) & (round_half_even(F.col("r2_train"), 2) < 0.90))
     return fit.orderBy(F.col("r2_val").desc(), F.col("model")).limit(n)
 
 

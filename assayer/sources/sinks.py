@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.functions.scoring import rounded_for_export
+from assayer.functions.scoring import round_half_even, rounded_for_export
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
@@ -51,14 +51,14 @@ def site_payload() -> Column:
     return F.to_json(
         F.struct(
             F.col("id"), F.col("name"), F.col("color"),
-            F.bround("volume", 1).alias("volume"),
-            F.bround("area", 1).alias("area"),
-            F.bround("depth", 2).alias("depth"),
-            F.bround("hydrophobicity", 3).alias("hydrophobicity"),
-            F.bround("rank_score", 1).alias("score"),
+            round_half_even(F.col("volume"), 1).alias("volume"),
+            round_half_even(F.col("area"), 1).alias("area"),
+            round_half_even(F.col("depth"), 2).alias("depth"),
+            round_half_even(F.col("hydrophobicity"), 3).alias("hydrophobicity"),
+            round_half_even(F.col("rank_score"), 1).alias("score"),
             F.col("rank"),
             (F.col("rank") == 1).alias("is_best"),
-            F.array(*[F.bround(c, 2) for c in ("cx", "cy", "cz")]).alias("centroid"),
+            F.array(*[round_half_even(F.col(c), 2) for c in ("cx", "cy", "cz")]).alias("centroid"),
             F.col("n_points"),
         )
     )
