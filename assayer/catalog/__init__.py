@@ -1,6 +1,6 @@
 """All named queries; importing the modules registers them."""
 
-from assayer.catalog import clean_queries, rank_queries  # noqa: F401
+from assayer.catalog import clean_queries, finalist_queries, rank_queries, sample_queries  # noqa: F401
 from assayer.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
