@@ -9,6 +9,7 @@ from assayer.functions import bits as fp
 from assayer.functions.text import text_descriptors
 from assayer.operators import sampling, similarity
 from assayer.plans import selection
+from assayer.session import stored
 
 PART_DESCRIPTORS = ["size", "price", "quantity", "lines"]
 SHARE, SEED, BINS = 0.1, 42, 5
@@ -51,7 +52,11 @@ def _percentile_edges(spark, sf):
 
 
 def _binned(spark, sf):
-    return selection.binned(part_descriptors(spark, sf), PART_DESCRIPTORS, BINS)
+    return selection.binned(stored(part_descriptors(spark, sf), "parts"), PART_DESCRIPTORS, BINS)
+
+
+def _labels(spark, sf):
+    return stored(_binned(spark, sf).select("part", "bin_label"), "labels")
 
 
 @query("binned_labels", f"WITH {_BINNED_SQL} SELECT part, bin_label FROM binned")
@@ -79,7 +84,7 @@ _STRATIFIED_SQL = f"""{_COUNTS_SQL},
 
 @query("stratified_sample", f"WITH {_STRATIFIED_SQL} SELECT part, bin_label FROM drawn")
 def _stratified(spark, sf):
-    b = _binned(spark, sf)
+    b = _labels(spark, sf)
     return sampling.stratified_sample(b, "bin_label", ["part"], int(SHARE * b.count()), SEED).select("part", "bin_label")
 
 
@@ -91,7 +96,7 @@ def _stratified(spark, sf):
         SELECT part, bin_label FROM drawn UNION ALL SELECT part, bin_label FROM extra""",
 )
 def _topped_up(spark, sf):
-    b = _binned(spark, sf)
+    b = _labels(spark, sf)
     return sampling.topped_up_sample(b, "bin_label", ["part"], int(SHARE * b.count()), SEED).select("part", "bin_label")
 
 
@@ -164,12 +169,16 @@ def doc_prints(spark, sf, n_bits=fp.N_BITS):
 
 @query(
     "fingerprint_bits",
-    """WITH c AS (SELECT doc_id, string_split(text, '') AS chars FROM documents WHERE text IS NOT NULL),
-            g AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(chars) - 2, 1) + 1),
-                    lambda i: array_to_string(chars[i:i + 2], ''))) AS grams FROM c),
-            b AS (SELECT doc_id, list_sort(list_distinct(list_transform(list_filter(grams, lambda x: x <> ''),
-                    lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT % 2048))) AS bits FROM g)
-       SELECT doc_id, len(bits) AS n_bits, array_to_string(bits, ' ') AS bits FROM b""",
+    """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i
+                  FROM documents WHERE length(text) >= 3),
+            g AS (SELECT doc_id, ch || lead(ch, 1) OVER w || lead(ch, 2) OVER w AS gram FROM c
+                  WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+                  UNION ALL SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 1 AND 2),
+            d AS (SELECT DISTINCT doc_id, gram FROM g WHERE gram IS NOT NULL),
+            b AS (SELECT DISTINCT doc_id, ('0x' || substr(md5(gram), 1, 8))::BIGINT % 2048 AS bit FROM d),
+            l AS (SELECT doc_id, list_sort(list(bit)) AS bits FROM b GROUP BY doc_id)
+       SELECT doc_id, coalesce(len(bits), 0) AS n_bits, coalesce(array_to_string(bits, ' '), '') AS bits
+       FROM documents LEFT JOIN l USING (doc_id) WHERE text IS NOT NULL""",
 )
 def _fingerprint_bits(spark, sf):
     prints = doc_prints(spark, sf)
@@ -223,9 +232,9 @@ def _packed_words(spark, sf):
     f"""WITH {_SIGNS_SQL}, p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS rows, bits FROM signs),
           c AS (SELECT vec_id, pos // least(ceil(rows / 4), 10000)::BIGINT + 1 AS chunk, bits FROM p),
           s AS (SELECT l.chunk, l.vec_id AS a, r.vec_id AS b,
-                       len(list_intersect(l.bits, r.bits)) AS both, len(l.bits) + len(r.bits) AS total
+                       len(list_intersect(l.bits, r.bits)) AS shared, len(l.bits) + len(r.bits) AS total
                 FROM c l JOIN c r ON l.chunk = r.chunk AND l.vec_id < r.vec_id)
-        SELECT chunk, a, b, round(both / (total - both), 9) AS similarity FROM s WHERE both / (total - both) >= 0.5""",
+        SELECT chunk, a, b, round(shared / (total - shared), 9) AS similarity FROM s WHERE shared / (total - shared) >= 0.5""",
 )
 def _tanimoto_pairs(spark, sf):
     chunked = sampling.chunks(sign_prints(spark, sf), "vec_id", 4)

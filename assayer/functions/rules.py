@@ -35,13 +35,19 @@ def _broken(df: DataFrame, rules: Sequence[Rule]) -> str | None:
     return None
 
 
-def _result(df: DataFrame, item: Column, name: str, rules: Sequence[Rule]) -> Column:
+def _errors(df: DataFrame, rules: Sequence[Rule]) -> dict[str, str | None]:
+    """Compile errors per rule set: one probe for all, and one per set only if that fails."""
+    if _broken(df, rules) is None:
+        return dict.fromkeys(rule_sets(rules))
+    return {s: _broken(df, [r for r in rules if r.rule_set == s]) for s in rule_sets(rules)}
+
+
+def _result(item: Column, name: str, rules: Sequence[Rule], error: str | None) -> Column:
     def outcome(ok: Column, status: Column, reasons: Column) -> Column:
         return F.struct(
             F.lit(name).alias("rule_set"), ok.alias("pass_filter"), status.alias("status"), reasons.alias("reasons")
         )
 
-    error = _broken(df, rules)
     if error is not None:
         return outcome(F.lit(False), F.lit("FILTER_ERROR"), F.lit(f"Filter failed: {error}"))
     # a NULL entry for every rule that does not match
@@ -59,7 +65,7 @@ def _result(df: DataFrame, item: Column, name: str, rules: Sequence[Rule]) -> Co
 def apply_rules(df: DataFrame, item: str, rules: Sequence[Rule]) -> DataFrame:
     """One row per item and rule set: ``rule_set, pass_filter, status, reasons``."""
     results = [
-        _result(df, F.col(item), s, [r for r in rules if r.rule_set == s]) for s in rule_sets(rules)
+        _result(F.col(item), s, [r for r in rules if r.rule_set == s], error) for s, error in _errors(df, rules).items()
     ]
     return df.withColumn("_r", F.explode(F.array(*results))).select(*df.columns, "_r.*")
 
@@ -67,8 +73,8 @@ def apply_rules(df: DataFrame, item: str, rules: Sequence[Rule]) -> DataFrame:
 def attach_rules(df: DataFrame, item: str, rules: Sequence[Rule]) -> DataFrame:
     """Three columns per rule set: ``<set>_pass_filter``, ``<set>_status``, ``<set>_reasons``."""
     out = df
-    for s in rule_sets(rules):
-        out = out.withColumn(f"_{s}", _result(df, F.col(item), s, [r for r in rules if r.rule_set == s]))
+    for s, error in _errors(df, rules).items():
+        out = out.withColumn(f"_{s}", _result(F.col(item), s, [r for r in rules if r.rule_set == s], error))
         for field in ("pass_filter", "status", "reasons"):
             out = out.withColumn(f"{s}_{field}", F.col(f"_{s}.{field}"))
         out = out.drop(f"_{s}")

@@ -20,23 +20,26 @@ BUCKETS = 64
 SMALL_K = 10_000
 
 
-def _cut_points(counts: DataFrame, value: str, buckets: int) -> Column:
+def _cut_points(value: str, buckets: int, counted: bool) -> Column:
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return F.percentile_approx(F.col(value).cast("double"), steps, F.lit(10 * buckets))
+    v = F.col(value).cast("double")
+    # naming the count keeps this branch on the same shuffle as the ranks
+    return F.percentile_approx(F.when(F.col("pos_n") > 0, v) if counted else v, steps, F.lit(10 * buckets))
 
 
 def _bucket_of(value: str, cuts: str) -> Column:
     v = F.col(value).cast("double")
-    return F.size(F.filter(F.col(cuts), lambda c: c < v))
+    # never NULL, so joins on the bucket add no filter and the plan's branches stay shareable
+    return F.coalesce(F.size(F.filter(F.col(cuts), lambda c: c < v)), F.lit(0))
 
 
 def _with_bucket(rows: DataFrame, counts: DataFrame, value: str, by: Sequence[str], buckets: int) -> DataFrame:
     if by:
-        cuts = counts.groupBy(*by).agg(_cut_points(counts, value, buckets).alias("_cuts"))
+        cuts = counts.groupBy(*by).agg(_cut_points(value, buckets, "pos_n" in counts.columns).alias("_cuts"))
         out = rows.join(cuts, list(by))
     else:
         # one row, attached as a scalar subquery
-        out = rows.withColumn("_cuts", counts.agg(_cut_points(counts, value, buckets)).scalar())
+        out = rows.withColumn("_cuts", counts.agg(_cut_points(value, buckets, "pos_n" in counts.columns)).scalar())
     return out.withColumn("_bucket", _bucket_of(value, "_cuts")).drop("_cuts")
 
 

@@ -234,19 +234,25 @@ def nearest(
 
     blocks = -(-n_train // TRAIN_BLOCK)
     groups = max(1, -(-query.count() // QUERY_GROUP))
-    q = query.withColumn("_group", F.pmod(F.xxhash64(query_id), F.lit(groups))).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # both sides may come from one table, so every column gets its own name
+    q = query.select(
+        F.pmod(F.xxhash64(query_id), F.lit(groups)).alias("_qg"), F.col(query_id).alias("_qi"), F.col(bits).alias("_qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_qn"),
     )
-    t = train.withColumn("_block", F.pmod(F.xxhash64(train_id), F.lit(blocks)).cast("int")).withColumn(
-        "_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    t = train.select(
+        F.pmod(F.xxhash64(train_id), F.lit(blocks)).cast("int").alias("_tn"), F.col(train_id).alias("_ti"),
+        F.col(bits).alias("_tb"), F.col(y).alias("_ty"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_tg"),
     )
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame(columns=schema.names)
+        left = left.rename(columns={"_qi": query_id, "_qb": bits})
+        right = right.rename(columns={"_ti": train_id, "_tb": bits, "_ty": y})
         return _nearest(left, right, k, n_bits, query_id, train_id, bits, y)
 
-    lists = q.groupBy("_group", "_block").cogroup(t.groupBy("_group", "_block")).applyInPandas(meet, schema)
+    lists = q.groupBy("_qg", "_qn").cogroup(t.groupBy("_tg", "_tn")).applyInPandas(meet, schema)
     # at most k rows per block and query
     merged = lists.groupBy(query_id).agg(
         F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour", "y"))), 1, k).alias("_n")

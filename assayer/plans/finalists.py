@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.functions import scoring
 from assayer.functions.rules import Rule, all_flags_pass, attach_rules, flag_columns
 from assayer.operators.ranking import dense_rank, top_k
+from assayer.session import stored
 
 # fixed values: columns of the top export, before the flags
 EXPORT_COLUMNS = [
@@ -41,8 +42,12 @@ def with_composite(df: DataFrame, weights: Mapping[str, float] | None = None) ->
 def rank_finalists(
     df: DataFrame, item: str, rules: Sequence[Rule], weights: Mapping[str, float] | None = None
 ) -> DataFrame:
-    """All finalists with rule columns, component scores, ``Composite_Score`` and the dense ``Rank``."""
-    scored = with_composite(with_component_scores(attach_rules(df, item, rules)), weights)
+    """All finalists with rule columns, component scores, ``Composite_Score`` and the dense ``Rank``.
+
+    The scored rows are written once, so the rules run once per item however often the
+    rank and the reports read them.
+    """
+    scored = stored(with_composite(with_component_scores(attach_rules(df, item, rules)), weights), "finalists")
     return dense_rank(scored, "Composite_Score", "Rank", descending=True)
 
 

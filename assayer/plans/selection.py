@@ -40,10 +40,16 @@ def binned(df: DataFrame, descriptors: Sequence[str], n_bins: int, label: str =
 
 
 def stratified_start(df: DataFrame, descriptors: Sequence[str], ids: Sequence[str], share: float, seed: int = 42) -> DataFrame:
-    """The descriptor-stratified sample of ``int(share * rows)`` rows."""
-    n_rows = df.count()
-    labelled = binned(df, descriptors, sampling.bins_for(n_rows))
-    return sampling.topped_up_sample(labelled, "bin_label", ids, int(share * n_rows), seed)
+    """The descriptor-stratified sample of ``int(share * rows)`` rows.
+
+    Descriptors and labels are written once as narrow tables (ids and numbers only),
+    since edges, shares and draws each read them.
+    """
+    narrow = stored(df.select(*ids, *descriptors), "descriptors")
+    n_rows = narrow.count()
+    labels = stored(binned(narrow, descriptors, sampling.bins_for(n_rows)).select(*ids, "bin_label"), "labels")
+    drawn = sampling.topped_up_sample(labels, "bin_label", ids, int(share * n_rows), seed)
+    return df.join(drawn, list(ids))
 
 
 def select_start(
