@@ -4,6 +4,7 @@ from assayer.catalog import (  # noqa: F401
     clean_queries,
     finalist_queries,
     io_queries,
+    model_queries,
     rank_queries,
     sample_queries,
     structure_queries,

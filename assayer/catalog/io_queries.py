@@ -73,7 +73,7 @@ def _blocks(spark, sf):
     tag = F.when(F.col("user_id") % 7 == 0, F.lit("> <other>\nnone")).otherwise(
         F.concat(F.lit("> <minimizedAffinity>\n"), (-F.col("value")).cast("string"))
     )
-    block = F.concat(title, F.lit("\n  body\n"), tag, F.lit("\n"))
+    block = F.concat(title, F.lit("\n  body "), F.col("event_id").cast("string"), F.lit("\n"), tag, F.lit("\n"))
     return e.select(F.dayofyear("ts").alias("day"), "event_id", F.concat(block, F.lit("\n$$$$")).alias("value"))
 
 
@@ -100,9 +100,9 @@ def _record_counts(spark, sf):
     return counted.select(_key_of("day").cast("int").alias("day"), "n")
 
 
-@query("line_counts", "SELECT dayofyear(ts) AS day, 5 * count(*) + count(*) - count(*) AS n FROM events GROUP BY 1")
+@query("line_counts", "SELECT dayofyear(ts) AS day, 6 * count(*) AS n FROM events GROUP BY 1")
 def _line_counts(spark, sf):
-    """Physical lines, blank ones included: title, body, tag, value and terminator per record."""
+    """Physical lines, blank ones included: title, body, tag, value, blank and terminator per record."""
     counted = lines.count_lines(spark, _record_files(spark, sf))
     return counted.select(_key_of("day").cast("int").alias("day"), "n")
 
@@ -114,7 +114,7 @@ def _record_artifacts(spark, sf):
 
 @query(
     "top_records",
-    f"""WITH {_RECORDS_SQL} SELECT name, score FROM named WHERE score IS NOT NULL ORDER BY score, event_id LIMIT 500""",
+    f"""WITH {_RECORDS_SQL} SELECT event_id, score FROM named WHERE score IS NOT NULL ORDER BY score, event_id LIMIT 500""",
 )
 def _top_records(spark, sf):
     """The best 500 records, written in order with terminators and read back."""
@@ -123,7 +123,8 @@ def _top_records(spark, sf):
     ordered = found.withColumn("ordinal", _key_of("day").cast("long") * 10**9 + F.col("ordinal"))
     path = fresh_path(spark, "top")
     records.write_records(records.reorder_records(ordered, 500), path, ["score", "ordinal"])
-    return records.read_records(spark, path).filter(F.col("score").isNotNull()).select("name", "score")
+    body = F.regexp_extract("block", r"body (\d+)", 1).cast("long")
+    return records.read_records(spark, path).select(body.alias("event_id"), "score")
 
 
 def _atom_lines(spark, sf):

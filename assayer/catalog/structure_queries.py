@@ -220,11 +220,11 @@ def _large_sites(spark, sf):
           h AS (SELECT *, nullif(regexp_extract(value, '^([A-Z][a-z]+)', 1), '') AS head,
                   try_cast(nullif(regexp_extract(value, '^\D*([0-9]+)', 1), '') AS DOUBLE) AS first_no,
                   try_cast(nullif(regexp_extract(value, ',\s*([0-9]+)', 1), '') AS DOUBLE) AS comma_no FROM l),
-          s AS (SELECT *, max(CASE WHEN head IS NOT NULL THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS at FROM h)
-        SELECT doc_id, at AS header_line, max(head) FILTER (line_no = at) AS section,
+          s AS (SELECT *, max(CASE WHEN head IS NOT NULL THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS top_line FROM h)
+        SELECT doc_id, top_line AS header_line, max(head) FILTER (line_no = top_line) AS section,
                arg_max(first_no, line_no) FILTER (first_no IS NOT NULL) AS first_no,
                arg_max(comma_no, line_no) FILTER (comma_no IS NOT NULL) AS comma_no
-        FROM s WHERE at IS NOT NULL GROUP BY doc_id, at""",
+        FROM s WHERE top_line IS NOT NULL GROUP BY doc_id, top_line""",
 )
 def _section_fields(spark, sf):
     d = table(spark, sf, "documents")

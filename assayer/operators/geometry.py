@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +58,15 @@ def contacts(item_atoms: DataFrame, receptor_atoms: DataFrame, complex_id: str =
     salted = receptors.join(crowd, cell).withColumn(
         "_salt", F.pmod(F.xxhash64("x", "y", "z", "type"), F.col("_salts"))
     )
-    steps = [s for s in product((-2, -1, 0, 1, 2), repeat=3) if s != (0, 0, 0)]
-    offsets = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip(s, "xyz")]) for s in steps])
+    offsets = F.filter(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(124)),
+            lambda i: F.struct(
+                (F.floor(i / 25) - 2).alias("x"), (F.floor(i / 5) % 5 - 2).alias("y"), (i % 5 - 2).alias("z")
+            ),
+        ),
+        lambda o: (o["x"] != 0) | (o["y"] != 0) | (o["z"] != 0),
+    )
     near = items.withColumn("_o", F.explode(offsets)).select(
         complex_id, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"),
         F.col("type").alias("item_type"), "_n",

@@ -81,15 +81,17 @@ def run_rounds(
             raise RuntimeError(f"the scorer failed on {missing} items in round {number}")
         return out
 
+    # fingerprints are read in every round
+    prints = stored(library.select("name", bits), "prints")
     first = scored(start, 0)
     k = first.count()
     ledger = stored(fold(first, first.limit(0)), "ledger")
     history = [(0, ledger)]
     for number in range(1, rounds + 1):
-        known = library.select("name", bits).join(ledger.select("name", F.col("score").alias("y")), "name")
+        known = prints.join(ledger.select("name", F.col("score").alias("y")), "name")
         train = stored(as_vector(known, bits, n_bits=n_bits).select("name", "features", "y"), "train")
         models = {label: fit(train) for label, fit in fits.items()}
-        preds = stored(batch_score(models, library, bits, n_bits=n_bits), "preds")
+        preds = stored(batch_score(models, prints, bits, n_bits=n_bits), "preds")
         best = select_top(preds, list(models), k)
         batch = library.join(not_in(best, ledger, "name").select("name"), "name", "left_semi")
         new = scored(batch, number)

@@ -20,8 +20,10 @@ def read_records(spark: SparkSession, path: str | list[str], tag: str = "minimiz
     number of the tag, NULL without one.
     """
     raw = read_numbered(spark, path, line_sep=TERMINATOR)
-    # the separator's own line end opens the next block; a blank first line is kept as an empty name
-    opened = raw.withColumn("block", F.regexp_replace("value", r"^\r?\n", "")).filter(F.trim(F.regexp_replace("block", r"\s+", " ")) != "")
+    # the separator's own line end opens every block but a file's first; a blank title line stays
+    opened = raw.withColumn(
+        "block", F.when(F.col("line_no") > 1, F.regexp_replace("value", r"^\r?\n", "")).otherwise(F.col("value"))
+    ).filter(F.trim(F.regexp_replace("block", r"\s+", " ")) != "")
     first_line = F.regexp_extract("block", r"^([^\r\n]*)", 1)
     return opened.select(
         "file",
@@ -40,7 +42,7 @@ def reorder_records(records: DataFrame, k: int = 50_000, higher_better: bool = F
 
 def write_records(records: DataFrame, path: str, order: list[str]) -> None:
     """Blocks in order, each followed by a blank line and the terminator."""
-    text = F.concat(F.regexp_replace("block", r"^\s+|\s+$", ""), F.lit(f"\n\n{TERMINATOR}"))
+    text = F.concat(F.regexp_replace("block", r"\s+$", ""), F.lit(f"\n\n{TERMINATOR}"))
     records.orderBy(*order).select(text.alias("value")).write.text(path)
 
 
