@@ -21,7 +21,7 @@ SMALL_K = 10_000
 
 
 def _cut_points(value: str, buckets: int, counted: bool) -> Column:
-    steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    steps = F.expr("array(" + ", ".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
     v = F.col(value).cast("double")
     # naming the count keeps this branch on the same shuffle as the ranks
     return F.percentile_approx(F.when(F.col("pos_n") > 0, v) if counted else v, steps, F.lit(10 * buckets))
@@ -141,19 +141,22 @@ def row_positions(df: DataFrame, order: str, out: str, buckets: int = BUCKETS) -
 def top_k(df: DataFrame, k: int, order: Sequence[tuple[str, bool]]) -> DataFrame:
     """The first ``k`` rows by ``[(column, ascending), ...]``; the last column must break every tie.
 
+    Rows without a value in the first column never qualify.
+
     Small k is a plain top-k, which keeps k rows per task.  A large k (a share of the
     library) finds the cut value of the first column from counts and filters on it, so
     no block of k rows passes the driver; only rows equal to the cut go on to the next
     column.
     """
+    df = df.filter(F.col(order[0][0]).isNotNull())
     if k <= SMALL_K:
-        return df.orderBy(*[F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]).limit(k)
+        return df.orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in order]).limit(k)
     return _threshold_top_k(df, F.lit(k), order)
 
 
 def best_share(df: DataFrame, k: Column, order: Sequence[tuple[str, bool]]) -> DataFrame:
     """``top_k`` for a k that is itself computed (a scalar subquery), always by the cut value."""
-    return _threshold_top_k(df, k, order)
+    return _threshold_top_k(df.filter(F.col(order[0][0]).isNotNull()), k, order)
 
 
 def _threshold_top_k(df: DataFrame, k: Column, order: Sequence[tuple[str, bool]]) -> DataFrame:
@@ -167,11 +170,13 @@ def _threshold_top_k(df: DataFrame, k: Column, order: Sequence[tuple[str, bool]]
         )
     pos = value_positions(df, key)
     ahead = F.col("pos_before") if up else F.col("pos_total") - F.col("pos_before") - F.col("pos_n")
-    edge = pos.filter((ahead < k) & (ahead + F.col("pos_n") >= k)).agg(F.max(key).alias("at"), F.max(k - ahead).alias("left"))
-    at = edge.select("at").scalar()
-    left = edge.select("left").scalar()
+    # one row: the cut value and how many of its rows still fit
+    edge = pos.filter((ahead < k) & (ahead + F.col("pos_n") >= k)).agg(
+        F.struct(F.max(key).alias("at"), F.max(k - ahead).alias("left")).alias("e")
+    )
+    at, left = edge.scalar().getField("at"), edge.scalar().getField("left")
     inside = F.col(key) < at if up else F.col(key) > at
-    sure = df.filter(at.isNull() | inside)
+    sure = df.filter((at.isNull() & (k > 0)) | inside)
     tied = df.filter(F.col(key) == at)
     if numeric and rest:
         chosen = _threshold_top_k(tied, left, rest)

@@ -18,6 +18,7 @@ from assayer.functions.bits import N_BITS
 from assayer.operators.cleaning import keep_first
 from assayer.operators.ranking import row_positions
 from assayer.operators.sampling import MAX_CHUNK
+from assayer.session import stored
 
 # fixed values: distance cutoffs of the two stages, picks per cluster
 FIRST_CUTOFF, SECOND_CUTOFF = 0.6, 0.3
@@ -158,12 +159,14 @@ def two_stage(
     def chunked(rows: DataFrame, by: str) -> DataFrame:
         return row_positions(rows, by, "_pos").withColumn("_chunk", F.floor(F.col("_pos") / chunk_size)).drop("_pos")
 
-    first = cluster_chunks(chunked(df, order), "_chunk", item_id, bits, FIRST_CUTOFF, order, n_bits)
+    # prints are read by both stages; the narrow copy keeps them from being computed again
+    prints = stored(df.select(*dict.fromkeys([item_id, order, bits])), "prints")
+    first = cluster_chunks(chunked(prints, order), "_chunk", item_id, bits, FIRST_CUTOFF, order, n_bits)
     # at most 10,000 clusters per chunk and 5 picks per cluster keep this order unique
     turn = (F.col("_chunk") * MAX_CHUNK + F.col("cluster")) * MAX_PICKS + F.col("pick")
     picks = first.filter(F.col("pick").isNotNull()).select(item_id, turn.alias("_turn"))
     second = cluster_chunks(
-        chunked(df.join(picks, item_id), "_turn"), "_chunk", item_id, bits, SECOND_CUTOFF, "_turn", n_bits
+        chunked(prints.join(picks, item_id), "_turn"), "_chunk", item_id, bits, SECOND_CUTOFF, "_turn", n_bits
     )
     final_turn = F.col("_chunk") * MAX_CHUNK + F.col("cluster")
     founders = second.filter(F.col("place") == 0).select(item_id, final_turn.alias("_turn"))

@@ -98,8 +98,9 @@ def run_rounds(
         fresh = not_in(new.filter(F.col("score") < 0), ledger, "name")
         history.append((number, fresh))
         ledger = stored(fold(new, ledger), "ledger")
-    everything = union_rounds(history)
-    so_far = union_rounds([(n, union_rounds(history[: n + 1]).drop("round")) for n in range(len(history))])
+    # a row scored in round r counts in the statistics of r and every later round
+    everything = stored(union_rounds(history), "history")
+    so_far = everything.select("name", "score", F.explode(F.sequence(F.col("round"), F.lit(rounds))).alias("round"))
     stats = round_stats(
         so_far.withColumn("_tie", F.xxhash64("name")), int(k * STATS_SHARE), "round", "score", "_tie"
     )

@@ -157,17 +157,16 @@ def load_model(spark: SparkSession, path: str) -> Model:
 
 def batch_score(models: Mapping[str, Model], library: DataFrame, bits: str, name: str = "name", n_bits: int = N_BITS) -> DataFrame:
     """``model, name, score`` of every library row in one scan; rows without a fingerprint get NULL."""
-    rows = as_vector(library.filter(F.col(bits).isNotNull()).select(name, bits), bits, n_bits=n_bits)
+    known = F.col(bits).isNotNull()
+    rows = as_vector(
+        library.select(name, known.alias("_known"), F.coalesce(bits, F.array().cast("array<int>")).alias(bits)), bits, n_bits=n_bits
+    ).drop(bits)
     for label, model in models.items():
-        rows = model.transform(rows).withColumnRenamed("prediction", f"_{label}").select(
-            name, "features", *[f"_{m}" for m in models if f"_{m}" in rows.columns or m == label]
-        )
-    entries = [F.struct(F.lit(m).alias("model"), F.col(f"_{m}").alias("score")) for m in models]
-    scored = rows.select(name, F.explode(F.array(*entries)).alias("_s")).select("_s.model", name, "_s.score")
-    blank = library.filter(F.col(bits).isNull()).select(
-        F.explode(F.array(*[F.lit(m) for m in models])).alias("model"), name, F.lit(None).cast("double").alias("score")
-    )
-    return scored.unionByName(blank)
+        rows = model.transform(rows).withColumnRenamed("prediction", f"_{label}")
+    entries = [
+        F.struct(F.lit(m).alias("model"), F.when(F.col("_known"), F.col(f"_{m}")).alias("score")) for m in models
+    ]
+    return rows.select(name, F.explode(F.array(*entries)).alias("_s")).select("_s.model", name, "_s.score")
 
 
 def learning_curve(
