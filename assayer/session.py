@@ -26,20 +26,18 @@ def local_session(cpus: str = "*", app: str = "assayer") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the session names it.
+    """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) is a folder of
-    our own made and set as the session's checkpoint folder.
+    Only where that is unset (tests, a laptop) a folder of our own becomes the session's
+    checkpoint folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        named = tempfile.mkdtemp(prefix="assayer-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    if named is not None:
+        return named
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="assayer-"))
+    return context.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

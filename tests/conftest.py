@@ -5,7 +5,9 @@ from assayer.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", "tests")
+    session = local_session("8", "tests")
+    session.conf.set("spark.sql.shuffle.partitions", "3")
+    return session
 
 
 @pytest.fixture(scope="session")
