@@ -80,7 +80,8 @@ def prints(spark, sf):
 def labelled(spark, sf):
     """All labelled documents as sparse fingerprints with their quality, written once."""
     y = table(spark, sf, "labels").select(F.col("doc_id").alias("name"), F.col("quality").cast("double").alias("y"))
-    known = prints(spark, sf).select("name", "bits").join(y, "name")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("name"), "text").join(y, "name")
+    known = d.select("name", "y", fp.fingerprint(fp.char_grams(F.col("text")), WIDTH).alias("bits"))
     return stored(models.as_vector(known, "bits", n_bits=WIDTH).select("name", "features", "y"), "labelled")
 
 

@@ -25,29 +25,36 @@ def feature_names() -> list[str]:
     return [f"{r}/{i}" for i in ITEM_ELEMENTS for r in RECEPTOR_ELEMENTS]
 
 
-def _cells(atoms: DataFrame, complex_id: str, n: str) -> DataFrame:
+def _cells(atoms: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
     """Distinct points with multiplicity and their grid cell."""
-    points = atoms.filter(F.col("type") != OTHER_TYPE).groupBy(complex_id, "x", "y", "z", "type").agg(
+    points = atoms.filter(F.col("type") != OTHER_TYPE).groupBy(*keys, "x", "y", "z", "type").agg(
         F.count(F.lit(1)).alias(n)
     )
-    for axis in "xyz":
-        points = points.withColumn(f"_c{axis}", F.floor(F.col(axis) / EDGE))
-    return points
+    return points.withColumns({f"_c{a}": F.floor(F.col(a) / EDGE) for a in "xyz"})
 
 
-def contacts(item_atoms: DataFrame, receptor_atoms: DataFrame, complex_id: str = "complex_id") -> DataFrame:
+def contacts(
+    item_atoms: DataFrame, receptor_atoms: DataFrame, complex_id: str = "complex_id", receptor_id: str | None = None
+) -> DataFrame:
     """Pairs closer than 12 per complex, item type and receptor type: ``n_contacts``.
 
-    Atoms: ``complex_id, x, y, z, type``.  Points meet over grid cells of half the
-    cutoff.  Points in the same cell are always in contact, so their counts are
-    multiplied without forming pairs; only the 124 neighbouring cells are verified point
-    by point.  A crowded cell is split over salts on the receptor side.
-    """
-    items = _cells(item_atoms, complex_id, "_n")
-    receptors = _cells(receptor_atoms.filter(F.col("type") < len(RECEPTOR_ELEMENTS)), complex_id, "_m")
-    cell = [complex_id, "_cx", "_cy", "_cz"]
+    Atoms: ``complex_id, x, y, z, type``.  Where many items share a receptor, name its
+    key: items then carry complex and receptor, receptor atoms only the receptor, and
+    each receptor is held once.
 
-    same_items = items.groupBy(*cell, F.col("type").alias("item_type")).agg(F.sum("_n").alias("_n"))
+    Points meet over grid cells of half the cutoff.  Points in the same cell are always
+    in contact, so their counts are multiplied without forming pairs; only the 124
+    neighbouring cells are verified point by point.  A crowded cell is split over salts
+    on the receptor side.
+    """
+    receptor_id = receptor_id or complex_id
+    owner = list(dict.fromkeys([complex_id, receptor_id]))
+    items = _cells(item_atoms, owner, "_n")
+    receptors = _cells(receptor_atoms.filter(F.col("type") < len(RECEPTOR_ELEMENTS)), [receptor_id], "_m")
+    place = ["_cx", "_cy", "_cz"]
+    cell = [receptor_id, *place]
+
+    same_items = items.groupBy(*owner, *place, F.col("type").alias("item_type")).agg(F.sum("_n").alias("_n"))
     same_receptors = receptors.groupBy(*cell, F.col("type").alias("receptor_type")).agg(F.sum("_m").alias("_m"))
     same = same_items.join(same_receptors, cell).select(
         complex_id, "item_type", "receptor_type", (F.col("_n") * F.col("_m")).alias("_pairs")
@@ -68,18 +75,20 @@ def contacts(item_atoms: DataFrame, receptor_atoms: DataFrame, complex_id: str =
         lambda o: (o["x"] != 0) | (o["y"] != 0) | (o["z"] != 0),
     )
     near = items.withColumn("_o", F.explode(offsets)).select(
-        complex_id, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"),
+        *owner, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"),
         F.col("type").alias("item_type"), "_n",
         *[(F.col(f"_c{a}") + F.col(f"_o.{a}")).alias(f"_c{a}") for a in "xyz"],
     )
     # item points whose neighbour cell is empty drop out here
     near = near.join(crowd, cell).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
-    square = sum(((F.col(a) - F.col(f"_{a}")) * (F.col(a) - F.col(f"_{a}")) for a in "yz"),
-                 (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")))
+
+    def gap(axis: str):
+        return (F.col(axis) - F.col(f"_{axis}")) * (F.col(axis) - F.col(f"_{axis}"))
+
     verified = (
         near.drop("_salts")
         .join(salted.drop("_salts"), [*cell, "_salt"])
-        .filter(square < CUTOFF * CUTOFF)
+        .filter(gap("x") + gap("y") + gap("z") < CUTOFF * CUTOFF)
         .select(complex_id, "item_type", F.col("type").alias("receptor_type"), (F.col("_n") * F.col("_m")).alias("_pairs"))
     )
     return same.unionByName(verified).groupBy(complex_id, "item_type", "receptor_type").agg(

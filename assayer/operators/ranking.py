@@ -95,7 +95,7 @@ def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), de
     """Rank from 1 with ties averaged; NULL and NaN get a NULL rank."""
     pos = value_positions(df, value, by)
     low = F.col("pos_total") - F.col("pos_before") - F.col("pos_n") if descending else F.col("pos_before")
-    table = pos.select(*by, value, "pos_n", "pos_total", (low + (F.col("pos_n") + 1) / 2.0).alias(out))
+    table = pos.select(*by, value, "pos_n", (low + (F.col("pos_n") + 1) / 2.0).alias(out))
     return attach_by_key(df, table, [*by, value], [out])
 
 
@@ -103,7 +103,7 @@ def dense_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), desc
     """Dense rank from 1 over distinct values; NULL and NaN get a NULL rank."""
     pos = value_positions(df, value, by)
     place = F.col("pos_distinct") - F.col("pos_index") if descending else F.col("pos_index") + 1
-    table = pos.select(*by, value, "pos_n", "pos_total", place.cast("long").alias(out))
+    table = pos.select(*by, value, "pos_n", place.cast("long").alias(out))
     return attach_by_key(df, table, [*by, value], [out])
 
 

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from assayer.operators.joins import not_in
 from assayer.operators.ranking import row_positions
+from assayer.session import stored
 
-WIDE, NARROW = 4, 2
+# hex digits of the key that make a bucket: over the table, and within each group
+WIDE, NARROW = 4, 3
 
 # fixed values: library sizes that change the sampling strategy
 HUGE_LIBRARY, SMALL_LIBRARY = 2_000_000, 10_000
@@ -115,7 +117,8 @@ def topped_up_sample(
     df: DataFrame, label: str, ids: Sequence[str], n_samples: int, seed: int = 42, min_size: int = 2
 ) -> DataFrame:
     """The stratified sample, filled up to ``n_samples`` from the other rows of valid labels."""
-    drawn = stratified_sample(df, label, ids, n_samples, seed, min_size)
+    # the draw is read three times below: as rows, as the gap, and as what the rest must not hold
+    drawn = stored(stratified_sample(df, label, ids, n_samples, seed, min_size), "drawn")
     valid = df.join(label_counts(df, label, min_size).select(label), label, "left_semi")
     rest = not_in(valid, drawn, ids[0])
     # the gap stays a scalar subquery: nothing is counted on the driver

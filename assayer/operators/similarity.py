@@ -164,7 +164,8 @@ def two_stage(
     first = cluster_chunks(chunked(prints, order), "_chunk", item_id, bits, FIRST_CUTOFF, order, n_bits)
     # at most 10,000 clusters per chunk and 5 picks per cluster keep this order unique
     turn = (F.col("_chunk") * MAX_CHUNK + F.col("cluster")) * MAX_PICKS + F.col("pick")
-    picks = first.filter(F.col("pick").isNotNull()).select(item_id, turn.alias("_turn"))
+    # the second chunking reads the picks several times
+    picks = stored(first.filter(F.col("pick").isNotNull()).select(item_id, turn.alias("_turn")), "picks")
     second = cluster_chunks(
         chunked(prints.join(picks, item_id), "_turn"), "_chunk", item_id, bits, SECOND_CUTOFF, "_turn", n_bits
     )

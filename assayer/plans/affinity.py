@@ -11,10 +11,12 @@ from assayer.functions.scoring import round_half_even
 from assayer.operators.geometry import TERMS, contact_features, contacts, feature_names, with_terms
 
 
-def feature_table(item_atoms: DataFrame, receptor_atoms: DataFrame, terms: DataFrame, complex_id: str = "complex_id") -> DataFrame:
+def feature_table(
+    item_atoms: DataFrame, receptor_atoms: DataFrame, terms: DataFrame, complex_id: str = "complex_id", receptor_id: str | None = None
+) -> DataFrame:
     """41 features per complex, all complexes in one job."""
-    complexes = item_atoms.select(complex_id).distinct()
-    counts = contact_features(contacts(item_atoms, receptor_atoms, complex_id), complexes, complex_id)
+    found = contacts(item_atoms, receptor_atoms, complex_id, receptor_id)
+    counts = contact_features(found, item_atoms, complex_id)
     return with_terms(counts, terms, complex_id)
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.operators import geometry, sites
 
@@ -30,6 +31,15 @@ def test_contacts_equal_brute_force(spark, monkeypatch, hot_cell):
     assert {(r.complex_id, r.item_type, r.receptor_type): r.n_contacts for r in got} == brute(items, receptors)
 
 
+def test_a_shared_receptor_is_held_once(spark):
+    items, receptor = cloud(60, 3, 15, [0, 1]), [r for r in cloud(80, 4, 15, [0, 3]) if r[0] == 1]
+    shared = spark.createDataFrame(items, ATOMS).withColumn("receptor", F.lit(9).cast("long"))
+    one = spark.createDataFrame([(9, *r[1:]) for r in receptor], ATOMS.replace("complex_id", "receptor"))
+    got = geometry.contacts(shared, one, receptor_id="receptor").collect()
+    want = brute(items, [(c, *r[1:]) for c in (1, 2) for r in receptor])
+    assert {(r.complex_id, r.item_type, r.receptor_type): r.n_contacts for r in got} == want
+
+
 def test_distance_of_exactly_the_cutoff_is_no_contact(spark):
     items = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0)], ATOMS)
     at = spark.createDataFrame([(1, 12.0, 0.0, 0.0, 0)], ATOMS)
