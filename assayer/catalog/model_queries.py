@@ -56,11 +56,11 @@ def _attribution(spark, sf):
 
 @query(
     "attribution",
-    f"""WITH {_RIDGE_SQL} SELECT part, 'quantity' AS feature, round(w1 * (q - mq), 3) AS contribution FROM d, m, w
-        UNION ALL SELECT part, 'lines', round(w2 * (c - mc), 3) FROM d, m, w""",
+    f"""WITH {_RIDGE_SQL} SELECT part, 'quantity' AS feature, round(w1 * (q - mq), 3) + 0.0::DOUBLE AS contribution FROM d, m, w
+        UNION ALL SELECT part, 'lines', round(w2 * (c - mc), 3) + 0.0::DOUBLE FROM d, m, w""",
 )
 def _attribution_rows(spark, sf):
-    return _attribution(spark, sf).withColumn("contribution", F.round("contribution", 3))
+    return _attribution(spark, sf).withColumn("contribution", F.round("contribution", 3) + 0.0)
 
 
 @query(
