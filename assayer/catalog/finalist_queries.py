@@ -9,6 +9,7 @@ from assayer.catalog.registry import query, spread, table
 from assayer.functions.rules import Rule, all_flags_pass, apply_rules
 from assayer.operators import ledger, stats
 from assayer.plans import finalists
+from assayer.sources.sinks import top_payload as top_payload_json
 
 # stand-in pattern rules on document text
 RULES = [
@@ -156,6 +157,20 @@ def _top_passing(spark, sf):
     return finalists.export_view(finalists.top_finalists(ranked(spark, sf), 50, passing=True))
 
 
+@query(
+    "top_payload",
+    f"""WITH {RANKED_SQL} SELECT doc_id AS name, Rank AS rank, round(Composite_Score, 6) AS score, Affinity_Numeric AS affinity,
+          Lipinski_Violations AS lipinski_violations, md5(text) AS smiles_md5
+        FROM ranked ORDER BY Composite_Score DESC, doc_id LIMIT 5""",
+)
+def _top_payload(spark, sf):
+    """The JSON of the best five, parsed again."""
+    top = finalists.top_finalists(ranked(spark, sf), 5).select(top_payload_json().alias("json"))
+    fields = "rank long, name long, score double, affinity double, lipinski_violations int, smiles string"
+    parsed = top.select(F.from_json("json", fields).alias("p")).select("p.*")
+    return parsed.select("name", "rank", F.round("score", 6).alias("score"), "affinity", "lipinski_violations", F.md5("smiles").alias("smiles_md5"))
+
+
 @query("all_passing", f"WITH {RANKED_SQL} SELECT doc_id AS name, Rank FROM ranked WHERE contact_p AND markup_p AND noise_p")
 def _all_passing(spark, sf):
     return finalists.passing(ranked(spark, sf)).select("name", "Rank")

@@ -35,7 +35,7 @@ def write_points(points: DataFrame, path: str, serial: str = "n", group: str = "
     point_lines(points, serial, group).orderBy(serial).select("value").write.text(path)
 
 
-def top_payload(df: DataFrame) -> Column:
+def top_payload() -> Column:
     """JSON of a finalist row."""
     return F.to_json(
         F.struct(
