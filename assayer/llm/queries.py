@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, exact, near, toxicity
+from assayer.llm import bpe, chat, exact, near, neighbours, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_near_dedup")
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.decide(table(spark, sf_dir, "documents"))
+
+
+@query("op1_multi_index")
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
