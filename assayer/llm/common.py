@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bits per key of the filter that :func:`maybe_among` sends to every task, and its size at most (4 MB of bits).
+FILTER_BITS_EACH, MOST_FILTER_BITS = 64, 1 << 25
 #: Text that a task holds at once, in bytes; a longer single text is held whole.
 BATCH_BYTES = 8 << 20
 
@@ -53,3 +55,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2] if len(column) else None
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def maybe_among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``df`` with flag ``_maybe``: false only where ``column`` (a long) is certainly not in ``keys``' one column.
+
+    The filter has a bounded size, whatever the number of keys: when it fills up, more rows are flagged, never fewer.
+    A null is never among the keys.  ``keys`` is read twice.
+    """
+    key = keys.columns[0]
+    bits = min(MOST_FILTER_BITS, 1 << max(16, (FILTER_BITS_EACH * keys.count()).bit_length()))
+    words = (
+        keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("_bit"))
+        .select(F.expr("_bit div 64").alias("_word"), F.expr("shiftleft(1L, cast(_bit % 64 AS INT))").alias("_flag"))
+        .groupBy("_word").agg(F.bit_or("_flag").alias("_flags"))  # at most MOST_FILTER_BITS / 64 rows
+    )
+    marked = df.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(bits))).withColumn("_word", F.expr("_bit div 64"))
+    joined = marked.join(F.broadcast(words), "_word", "left")
+    there = F.col("_flags").bitwiseAND(F.expr("shiftleft(1L, cast(_bit % 64 AS INT))")) != 0
+    return joined.withColumn("_maybe", F.col(column).isNotNull() & F.coalesce(there, F.lit(False))).drop("_bit", "_word", "_flags")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import id_and_text, slices, text_bytes
+from assayer.llm.common import id_and_text, maybe_among, slices, text_bytes
 from assayer.llm.components import components
 from assayer.llm.shingles import constants, mix, shingle_sets
 from assayer.session import stored
@@ -87,11 +87,15 @@ def unpack(raw: bytes) -> np.ndarray:
     return out.view(">u8").ravel().astype(np.int64)
 
 
+def set_key(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
+
 def linked(shared, size_a, size_b):
     return OF * shared >= SHARE * (size_a + size_b - shared)
 
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, members binary"
+SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -104,17 +108,38 @@ def sign(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([set_key(s) for s in sets], pa.binary()),
                     pa.array([None if m is None else band_keys(m) for m in least], pa.list_(pa.int64())),
                     pa.array([None if m is None else odd_sketch(m) for m in least], pa.list_(pa.int64())),
-                    pa.array([pack(s) if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_key", "bands", "sketch", "members"],
+                ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
             )
 
     return id_and_text(docs).mapInArrow(run, SIGNED)
 
 
+def sets_of(docs: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rep, members``: the shingle sets of the given class representatives.
+
+    A bit filter of bounded size over their ids goes to every task, so texts of other documents are neither
+    shingled again nor shuffled.  When the filter is full it lets more pass and the join behind it decides alone.
+    """
+    texts = maybe_among(id_and_text(docs), "doc_id", reps).filter("_maybe").select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, SLICE_BYTES):
+            sets = shingle_sets(*text_bytes(piece.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([pack(s) for s in sets], pa.binary())],
+                ["rep", "set_key", "members"],
+            )
+
+    found = texts.mapInArrow(run, "rep long, set_key binary, members binary")
+    # a repeated doc_id may have other texts, or the same text twice
+    exact = found.join(classes.select("rep", "set_key").join(reps, "rep"), ["rep", "set_key"])
+    return exact.groupBy("rep").agg(F.first("members").alias("members"))
+
+
 def differing_bits(a: Column, b: Column) -> Column:
     bits = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     return F.aggregate(bits, F.lit(0), lambda total, x: total + x.cast("int"))
@@ -173,8 +198,8 @@ def bucket_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def near_components(signed: DataFrame) -> DataFrame:
-    """``set_key`` and the ``component_id`` of its class, from the stored output of :func:`sign`."""
+def near_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """``set_key`` and the ``component_id`` of its class, from ``docs`` and the stored output of :func:`sign`."""
     some = signed.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = stored(
         some.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
@@ -187,13 +212,12 @@ def near_components(signed: DataFrame) -> DataFrame:
 
     rows = classes.select(F.explode("bands").alias("band"), "rep")
     buckets = stored(
-        rows.groupBy("band").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("alike"))
+        rows.groupBy("band").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("alike"))
         .filter("n > 1"), "near-buckets",
     )
     shared = stored(rows.join(buckets, "band").select("band", "rep", "b", "n", "alike"), "near-members")
-    sets = some.select("doc_id", "set_key", "members").join(classes.select(F.col("rep").alias("doc_id"), F.col("rep"), "set_key"), ["doc_id", "set_key"])
-    sets = sets.select("rep", "members")
     pairs = shared.filter("rep != b").select(F.col("rep").alias("a"), "b").distinct()
+    sets = stored(sets_of(docs, shared.select("rep").distinct(), classes), "near-candidates")
     first = components(verified(pairs, classes, sets).unionAll(tied), "near-links")
 
     labelled = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -225,7 +249,7 @@ def near_components(signed: DataFrame) -> DataFrame:
 def decide(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
     signed = stored(sign(docs), "near-sets")
-    labels = near_components(signed)
+    labels = near_components(docs, signed)
     rows = signed.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return rows.select(

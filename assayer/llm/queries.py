@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, exact, near, neighbours, toxicity
+from assayer.llm import bpe, chat, exact, near, neighbours, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +96,8 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_multi_index")
 def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_repeated_bytes")
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
