@@ -235,7 +235,10 @@ def digests(docs: DataFrame) -> DataFrame:
 def decide(docs: DataFrame) -> DataFrame:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for every row of ``docs``."""
     rows = stored(digests(docs), "exact-digests")
-    groups = group_digests(rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
+    # stored, so that the join below reads plain shuffles and a hot digest can be split there
+    groups = stored(
+        group_digests(rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))), "exact-groups"
+    )
     return rows.join(groups, "digest").select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),

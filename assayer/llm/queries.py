@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, exact, near, neighbours, repeats, toxicity
+from assayer.llm import bpe, chat, exact, licenses, mixing, near, neighbours, pii, repeats, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,38 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_repeated_bytes")
 def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op4_mixing")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.language_rows(docs, table(spark, sf_dir, "labels")))
+
+
+_TEMPLATE_ROWS = ", ".join(
+    "('" + name + "', ['" + "', '".join(licenses.template_shingles(text)) + "'])" for name, text in licenses.TEMPLATES.items()
+)
+_LICENSE_SQL = f"""
+WITH w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS ws
+    FROM documents
+), s AS (
+    SELECT doc_id, list_transform(range(1, greatest(2, len(ws) - 3)), lambda i: array_to_string(ws[i:i + 4], ' ')) AS sh FROM w WHERE len(ws) > 0
+), t(license, template) AS (VALUES {_TEMPLATE_ROWS}),
+c AS (
+    SELECT doc_id, license, template, unnest(list_transform(range(1, len(sh) + 1, len(template) + 1), lambda i: sh[i:i + 2 * len(template) - 1])) AS win
+    FROM s, t
+), h AS (SELECT doc_id, license, len(list_intersect(template, win)) AS shared, len(template) AS t FROM c)
+SELECT doc_id, license, max(shared / t) AS containment FROM h WHERE shared * 100 >= t * 75 GROUP BY doc_id, license
+"""
+
+
+@query("op6_license_scan", _LICENSE_SQL)
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))

@@ -268,12 +268,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text`` for every row of ``docs``."""
     texts = id_and_text(docs).withColumn("copy", F.xxhash64("text"))
     rows = stored(segment_rows(texts, length).filter("doc_id IS NOT NULL"), "repeat-segments")
-    twice = rows.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # stored, so that the join reads plain shuffles and a hot anchor can be split there
+    twice = stored(rows.groupBy("anchor").count().filter("count > 1").select("anchor"), "repeat-anchors")
     shared = stored(rows.join(twice, "anchor"), "repeat-shared")
 
     first = F.min(F.struct("doc_id", "copy", "low", "windows", "lead")).alias("first")
     classes = stored(shared.groupBy("anchor", "class").agg(F.count(F.lit(1)).alias("n"), first), "repeat-classes")
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor")
+    several = stored(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor"), "repeat-several")
     asked = stored(classes.join(several, "anchor").select("anchor", "n", "first.*"), "repeat-asked")
     per_text = asked.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("low", "windows", "anchor", "lead")).alias("wanted"))
 
