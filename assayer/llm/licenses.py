@@ -52,11 +52,6 @@ def template_shingles(text: str) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))))
 
 
-def shingles(text: Column) -> Column:
-    """The hash of every five-word shingle in order; of all words together where there are fewer."""
-    return F.transform(shingle_texts(words(text)), lambda s: F.xxhash64(s))
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -86,12 +81,13 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     found = found.filter(F.arrays_overlap("shingles", known))
     sizes = sorted({len(texts) for _, texts in listed})
     starts = lambda t: F.sequence(F.lit(1), F.size("shingles"), F.lit(t + 1))
-    cut = F.concat(
-        *[
-            F.transform(starts(t), lambda i, t=t: F.struct(F.lit(t).alias("t"), i.alias("at"), F.array_distinct(F.slice("shingles", i, 2 * t)).alias("window")))
-            for t in sizes
-        ]
-    )
+
+    def windows_of(t: int) -> Column:
+        return F.transform(
+            starts(t), lambda i: F.struct(F.lit(t).alias("t"), i.alias("at"), F.array_distinct(F.slice("shingles", i, 2 * t)).alias("window"))
+        )
+
+    cut = F.concat(*[windows_of(t) for t in sizes])
     held = F.filter(cut, lambda w: F.arrays_overlap(w["window"], known))
     windows = found.select("doc_id", F.explode(held).alias("w")).select("doc_id", "w.*")
     signed = windows.select("doc_id", "t", "at", "window", F.posexplode(minhashes(F.col("window"))).alias("band", "least"))

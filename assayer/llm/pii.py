@@ -218,6 +218,10 @@ def train(spans: DataFrame) -> dict[str, float]:
     return weights
 
 
+def of_kind(kind: int):
+    return lambda s: s["kind"] == kind
+
+
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id, n_email, n_ip, n_card, n_phone`` (base spans), ``base_sha256`` and ``spans`` (all) for every row."""
     found = stored(candidates(docs), "pii-candidates")
@@ -240,6 +244,6 @@ def find(docs: DataFrame) -> DataFrame:
     rows = found.select("doc_id", "spans", base.alias("base")).select("doc_id", "base", F.concat("base", added).alias("all"))
     return rows.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        *[F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.col("all")).alias("spans"),
     )
