@@ -78,7 +78,6 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     known = F.array(*[F.xxhash64(F.lit(s)) for s in sorted({s for _, texts in listed for s in texts})])
     found = id_and_text(docs).filter("doc_id IS NOT NULL").select("doc_id", words(F.col("text")).alias("words"))
     found = found.select("doc_id", F.transform(shingle_texts(F.col("words")), lambda s: F.xxhash64(s)).alias("shingles"))
-    found = found.filter(F.arrays_overlap("shingles", known))
     sizes = sorted({len(texts) for _, texts in listed})
     starts = lambda t: F.sequence(F.lit(1), F.size("shingles"), F.lit(t + 1))
 
@@ -88,8 +87,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
         )
 
     cut = F.concat(*[windows_of(t) for t in sizes])
-    held = F.filter(cut, lambda w: F.arrays_overlap(w["window"], known))
-    windows = found.select("doc_id", F.explode(held).alias("w")).select("doc_id", "w.*")
+    some = F.arrays_overlap("shingles", known)
+    held = F.when(some, F.filter(cut, lambda w: F.arrays_overlap(w["window"], known)))
+    # an outer explode and a filter behind it: a filter before it would be moved below the splitting and repeat that
+    windows = found.select("doc_id", F.explode_outer(held).alias("w")).filter("w IS NOT NULL").select("doc_id", "w.*")
     signed = windows.select("doc_id", "t", "at", "window", F.posexplode(minhashes(F.col("window"))).alias("band", "least"))
     wanted = table.select("license", "template", "t", F.posexplode(minhashes(F.col("template"))).alias("band", "least"))
     met = signed.join(F.broadcast(wanted), ["t", "band", "least"])

@@ -155,5 +155,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     members = stored(domains.apply(docs.select("text")).select("_n", "_p"), "mix-members")
     steps = fit_rates(members, domains.names, targets)
     scored = domains.apply(docs).withColumn("_copies", copies(rate(steps, F.col("_p")), F.col("doc_id").cast("long")))
-    repeated = scored.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return repeated.select(*docs.columns)
+    # an outer explode and a filter behind it: a filter before it would be moved below the classifier and repeat that
+    each = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))
+    return scored.withColumn("_copy", F.explode_outer(each)).filter("_copy IS NOT NULL").select(*docs.columns)
