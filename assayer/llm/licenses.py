@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.common import ascii_lower, id_and_text
+from assayer.session import stored
 
 WORDS, BANDS = 5, 32
 SHARE, OF = 75, 100
@@ -57,10 +58,11 @@ def words(text: Column) -> Column:
 
 
 def shingle_texts(found: Column) -> Column:
+    """Shingles by place; an array slice would copy the whole array for each of them."""
     n = F.size(found)
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), n - (WORDS - 1)))
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), n - WORDS))
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(places, lambda i: F.array_join(F.slice(found, i, WORDS), " "))
+        F.transform(places, lambda i: F.concat_ws(" ", *[F.get(found, i + k) for k in range(WORDS)]))
     )
 
 
@@ -82,15 +84,19 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     starts = lambda t: F.sequence(F.lit(1), F.size("shingles"), F.lit(t + 1))
 
     def windows_of(t: int) -> Column:
-        return F.transform(
-            starts(t), lambda i: F.struct(F.lit(t).alias("t"), i.alias("at"), F.array_distinct(F.slice("shingles", i, 2 * t)).alias("window"))
-        )
+        def window(i: Column) -> Column:
+            last = F.least(i + (2 * t - 1), F.size("shingles"))
+            held = F.transform(F.sequence(i, last), lambda j: F.element_at("shingles", j))
+            return F.struct(F.lit(t).alias("t"), i.alias("at"), F.array_distinct(held).alias("window"))
+
+        return F.transform(starts(t), window)
 
     cut = F.concat(*[windows_of(t) for t in sizes])
-    some = F.arrays_overlap("shingles", known)
-    held = F.when(some, F.filter(cut, lambda w: F.arrays_overlap(w["window"], known)))
-    # an outer explode and a filter behind it: a filter before it would be moved below the splitting and repeat that
-    windows = found.select("doc_id", F.explode_outer(held).alias("w")).filter("w IS NOT NULL").select("doc_id", "w.*")
+    # stored as null, not filtered: a filter would be moved below the splitting and repeat it for each word
+    found = stored(found.select("doc_id", F.when(F.arrays_overlap("shingles", known), F.col("shingles")).alias("shingles")), "license-texts")
+    held = F.filter(cut, lambda w: F.arrays_overlap(w["window"], known))
+    windows = found.filter("shingles IS NOT NULL").select("doc_id", F.explode(held).alias("w")).select("doc_id", "w.*")
+    windows = stored(windows, "license-windows")
     signed = windows.select("doc_id", "t", "at", "window", F.posexplode(minhashes(F.col("window"))).alias("band", "least"))
     wanted = table.select("license", "template", "t", F.posexplode(minhashes(F.col("template"))).alias("band", "least"))
     met = signed.join(F.broadcast(wanted), ["t", "band", "least"])
