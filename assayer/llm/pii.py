@@ -28,7 +28,7 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",  # a run of fewer than 12 digits is no card wherever it starts
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -45,6 +45,8 @@ CONTEXT = {
     "phone": ("call", "fax", "mobile", "phone", "tel", "telefon", "telefono"),
 }
 CONTEXT_CHARS = 32
+#: Matches whose places are summed up in one go.
+PLACE_BLOCK = 256
 ROUNDS = 50
 LABELERS = ("pattern", "gazetteer", "context", "beside")
 FEATURES = ("gazetteer", "context", "before", "after", "digits")
@@ -75,17 +77,38 @@ def valid(kind: str, match: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def places(matches: Column, between: Column) -> Column:
-    """Start and text of every match, from the matches and the pieces of text between them."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,found:string>>").alias("spans"))
+def _within(block: Column, n: Column) -> Column:
+    return F.sequence(block * PLACE_BLOCK, F.least((block + 1) * PLACE_BLOCK, n) - 1)
 
-    def step(state: Column, pair: Column) -> Column:
-        at = state["at"] + F.length(pair["piece"])
-        span = F.struct(at.alias("start"), pair["found"].alias("found"))
-        return F.struct((at + F.length(pair["found"])).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(matches)).alias("piece"), matches.alias("found"))
-    return F.aggregate(pairs, start, step, lambda s: s["spans"])
+def block_starts(matches: Column, between: Column) -> Column:
+    """Where each block of matches begins in the text; ``between`` are the pieces of text around the matches."""
+    n = F.size(matches)
+    moved = lambda i: F.length(F.get(between, i)) + F.length(F.get(matches, i))
+    sums = F.transform(
+        F.sequence(F.lit(0), F.floor((n - 1) / PLACE_BLOCK).cast("int")),
+        lambda b: F.aggregate(_within(b, n), F.lit(0), lambda total, i: total + moved(i)),
+    )
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(
+        sums, first, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"]
+    )
+
+
+def places(matches: Column, between: Column, starts: Column) -> Column:
+    """Start and text of every match.  Work goes block by block, so it stays in proportion to the matches."""
+    n = F.size(matches)
+
+    def step(state: Column, i: Column) -> Column:
+        at, found = state["at"] + F.length(F.get(between, i)), F.get(matches, i)
+        span = F.struct(at.alias("start"), found.alias("found"))
+        return F.struct((at + F.length(found)).alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+
+    def block(start: Column, b: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<struct<start:int,found:string>>").alias("spans"))
+        return F.aggregate(_within(b, n), first, step, lambda s: s["spans"])
+
+    return F.flatten(F.transform(starts, block))
 
 
 def _member(value: Column, known: tuple[str, ...]) -> Column:
@@ -161,11 +184,14 @@ def candidates(docs: DataFrame) -> DataFrame:
         ],
     )
     empty = "array<struct<start:int,found:string>>"
-    placed = found.select(
+    n = range(len(asked))
+    split = found.select("*", *[F.when(F.size(f"m{i}") > 0, F.split(text, asked[i][1], -1)).alias(f"p{i}") for i in n])
+    begun = split.select("*", *[F.when(F.size(f"m{i}") > 0, block_starts(F.col(f"m{i}"), F.col(f"p{i}"))).alias(f"b{i}") for i in n])
+    placed = begun.select(
         "doc_id", "text",
         *[
-            F.when(F.size(f"m{i}") > 0, places(F.col(f"m{i}"), F.split(text, p, -1))).otherwise(F.array().cast(empty)).alias(f"s{i}")
-            for i, (_, p, _, _) in enumerate(asked)
+            F.when(F.size(f"m{i}") > 0, places(F.col(f"m{i}"), F.col(f"p{i}"), F.col(f"b{i}"))).otherwise(F.array().cast(empty)).alias(f"s{i}")
+            for i in n
         ],
     )
     return placed.select("doc_id", F.concat(*[described(k, F.col(f"s{i}"), text, l) for i, (k, _, l, _) in enumerate(asked)]).alias("spans"))
