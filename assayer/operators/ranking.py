@@ -141,22 +141,45 @@ def row_positions(df: DataFrame, order: str, out: str, buckets: int = BUCKETS) -
 def top_k(df: DataFrame, k: int, order: Sequence[tuple[str, bool]]) -> DataFrame:
     """The first ``k`` rows by ``[(column, ascending), ...]``; the last column must break every tie.
 
-    Rows without a value in the first column never qualify.
+    Rows without a value (NULL or NaN) in the first column never qualify.  In later columns NULL stands below and NaN
+    above every number, so NULL comes first ascending and last descending; a NULL text counts as empty.
 
     Small k is a plain top-k, which keeps k rows per task.  A large k (a share of the
     library) finds the cut value of the first column from counts and filters on it, so
     no block of k rows passes the driver; only rows equal to the cut go on to the next
-    column.
+    column.  Both follow the same rule.
     """
-    df = df.filter(F.col(order[0][0]).isNotNull())
     if k <= SMALL_K:
-        return df.orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in order]).limit(k)
-    return _threshold_top_k(df, F.lit(k), order)
+        made, keys = _sort_keys(df, order)
+        return made.orderBy(*[F.col(c).asc() if up else F.col(c).desc() for c, up in keys]).limit(k).select(*df.columns)
+    return best_share(df, F.lit(k), order)
 
 
 def best_share(df: DataFrame, k: Column, order: Sequence[tuple[str, bool]]) -> DataFrame:
     """``top_k`` for a k that is itself computed (a scalar subquery), always by the cut value."""
-    return _threshold_top_k(df.filter(F.col(order[0][0]).isNotNull()), k, order)
+    made, keys = _sort_keys(df, order)
+    return _threshold_top_k(made, k, keys).select(*df.columns)
+
+
+def _sort_keys(df: DataFrame, order: Sequence[tuple[str, bool]]) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """The rows with a value in the first column, and sort keys without NULL or NaN for the columns of ``order``."""
+    kinds, keys = dict(df.dtypes), []
+    for i, (column, up) in enumerate(order):
+        value, float_like = F.col(column), kinds[column] in ("double", "float")
+        if i == 0:
+            df = df.filter(value.isNotNull() & ~F.isnan(value) if float_like else value.isNotNull())
+        elif kinds[column] != "string":
+            side = F.when(value.isNull(), 0).when(F.isnan(value) if float_like else F.lit(False), 2).otherwise(1)
+            df = df.withColumn(f"_side{i}", side)
+            keys.append((f"_side{i}", up))
+        if kinds[column] == "string":
+            df = df.withColumn(f"_by{i}", F.coalesce(value, F.lit("")))
+        elif float_like:
+            df = df.withColumn(f"_by{i}", F.when(F.isnan(value), F.lit(0.0)).otherwise(F.coalesce(value, F.lit(0.0))))
+        else:
+            df = df.withColumn(f"_by{i}", F.coalesce(value, F.lit(0).cast(kinds[column])) if i else value)
+        keys.append((f"_by{i}", up))
+    return df, keys
 
 
 def _threshold_top_k(df: DataFrame, k: Column, order: Sequence[tuple[str, bool]]) -> DataFrame:

@@ -100,7 +100,7 @@ def histogram(df: DataFrame, value: str, bins: int, density: bool = False) -> Da
 def kernel_density(df: DataFrame, value: str, points: int = GRID_POINTS) -> DataFrame:
     """Gaussian density (Scott bandwidth) on an even grid from the least to the greatest value.
 
-    Equal values are collapsed first; each value adds only to grid points its kernel
+    One row or a flat column has no width and gives no rows.  Equal values are collapsed first; each value adds only to grid points its kernel
     reaches, and the sums combine map-side, so the shuffle holds one row per grid point.
     """
     present = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"))
@@ -114,6 +114,7 @@ def kernel_density(df: DataFrame, value: str, points: int = GRID_POINTS) -> Data
         ).alias("s")
     )
     at = counts.withColumn("_s", summary.scalar())
+    at = at.filter("_s.step > 0")  # one row or equal values have no width, so no density
     place = (F.col("_v") - F.col("_s.lo")) / F.col("_s.step")
     reach = F.col("_s.h") * KERNEL_REACH / F.col("_s.step")
     spread = at.withColumn(

@@ -34,7 +34,7 @@ def read_records(spark: SparkSession, path: str | list[str], tag: str = "minimiz
     )
 
 
-def reorder_records(records: DataFrame, k: int = 50_000, higher_better: bool = False) -> DataFrame:
+def reorder_records(records: DataFrame, k: int, higher_better: bool = False) -> DataFrame:
     """The best k scored records, by score and then input order; unscored ones are dropped."""
     scored = records.filter(F.col("score").isNotNull())
     return top_k(scored, k, [("score", not higher_better), ("ordinal", True)])
