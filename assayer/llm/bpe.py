@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from assayer.llm.common import id_and_text, slices
 
 #: Distinct words that a task keeps between slices; beyond it the cache starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 NONE = np.int64(1 << 40)
 
 

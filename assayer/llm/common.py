@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Bits per key of the filter that :func:`maybe_among` sends to every task, and its size at most (4 MB of bits).
 FILTER_BITS_EACH, MOST_FILTER_BITS = 64, 1 << 25
 #: Text that a task holds at once, in bytes; a longer single text is held whole.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

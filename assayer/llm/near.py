@@ -41,7 +41,7 @@ SHARE, OF = 75, 100
 LEAST_ESTIMATE = 0.5
 #: Members of a bucket that are compared in one task; a larger bucket is dealt over several.
 BLOCK = 4096
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _TIMES, _FLIP = constants(HASHES, 5), constants(HASHES, 6)
 _IN_BAND, _BAND, _FOLD = constants(BAND_ROWS, 7), constants(BANDS, 8), constants(HASHES, 9)
