@@ -168,7 +168,7 @@ def _sort_keys(df: DataFrame, order: Sequence[tuple[str, bool]]) -> tuple[DataFr
         value, float_like = F.col(column), kinds[column] in ("double", "float")
         if i == 0:
             df = df.filter(value.isNotNull() & ~F.isnan(value) if float_like else value.isNotNull())
-        elif kinds[column] != "string":
+        elif kinds[column] != "string" and i < len(order) - 1:  # the last one breaks every tie, so it has a value
             side = F.when(value.isNull(), 0).when(F.isnan(value) if float_like else F.lit(False), 2).otherwise(1)
             df = df.withColumn(f"_side{i}", side)
             keys.append((f"_side{i}", up))
