@@ -9,8 +9,11 @@ the same one.
 * Segments with equal content are one class.  All windows of a class with two members are repeated; classes that
   share an anchor are compared with each other by a Burrows-Wheeler transform of their texts, anchors dealt over all
   tasks.  Backward extension, breadth first, finds the common-prefix lengths of neighbouring suffixes in rising
-  order; it stops at ``LENGTH``, and what is then still open is a repeated window.  An anchor with very many
-  classes is worked off in pieces of windows, so memory stays bounded.
+  order; it stops at ``LENGTH``, and what is then still open is a repeated window.
+* An anchor whose classes have more than ``HOT_BYTES`` is split before that shuffle, so no task gets more of one anchor.
+  A window reaches far to the left of its anchor or far to the right, so equal windows also share the longer string
+  with that half of the remaining bytes; it becomes the new anchor.  Equal pieces are collapsed again, pieces alone
+  with their anchor are done, and what is still too large is split again, until the anchor is the whole window.
 * The covered bytes of each document are cut out.  Only documents with a covered byte are shuffled with their text.
 
 Null text counts as empty.  Rows are judged as they stand: a repeated row is a second copy of its text.  Rows that
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,8 @@ GRAM = 48
 SLICE_BYTES = 4 << 20
 #: Bytes that one transform covers, and windows per piece where one anchor alone has more.
 TRANSFORM_BYTES, PIECE_WINDOWS = 2 << 20, 64
+#: Bytes of different segments above which an anchor is split into longer ones.
+HOT_BYTES = 1 << 20
 
 _BYTE, _DOUBLE = constants(256, 11), constants(8, 12)
 _PLACES = 24
@@ -238,6 +244,60 @@ def _transform(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
         yield out(held)
 
 
+PIECE = "doc_id long, copy long, low long, windows int, lead int, slack int, anchor long, piece binary"
+
+
+def halve(row: tuple, length: int) -> list[tuple]:
+    """A piece as up to two pieces with longer anchors, in the columns of ``PIECE``.
+
+    The anchor has all but ``slack`` of the ``length`` bytes of a window.  Windows with half of these before it or more
+    are told by the anchor and that half on its left, all others by the anchor and the other half on its right.
+    """
+    doc_id, copy, low, windows, lead, slack, anchor, text = row
+    half, out = (slack + 1) // 2, []
+    left = max(0, min(windows, lead - half + 1))
+    for a, b, start, rest in ((0, left, lead - half, slack - half), (left, windows, lead - left, half - 1)):
+        if a < b:
+            part = text[a : b + length - 1]
+            key = hashlib.blake2b(part[start : start + length - rest], digest_size=8, salt=b"%d" % rest, key=anchor.to_bytes(8, "little", signed=True))
+            out.append((doc_id, copy, low + a, b - a, start, rest, int.from_bytes(key.digest(), "little", signed=True), part))
+    return out
+
+
+def split_hot(hot: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces with anchors of at most ``most`` bytes, and the spans of those found to be repeated as a whole."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64()]
+    names = ["doc_id", "copy", "low", "windows", "lead", "slack", "anchor", "piece", "class"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [half for row in zip(*(batch.column(c).to_pylist() for c in names[:-1])) for half in halve(row, length)]
+            same = [hashlib.blake2b(r[-1], digest_size=8).digest() for r in rows]
+            columns = [*(zip(*rows) if rows else [[]] * 8), np.frombuffer(b"".join(same), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    cool, whole = [], []
+    while True:
+        halves = stored(hot.mapInArrow(run, PIECE + ", class long"), "repeat-halves")
+        first = F.min(F.struct("doc_id", "copy", "low", "windows", "lead", "slack")).alias("first")
+        classes = stored(halves.groupBy("anchor", "class").agg(F.count(F.lit(1)).alias("n"), first, F.first("piece").alias("piece")), "repeat-kinds")
+        whole.append(
+            halves.select("doc_id", "copy", "low", "windows", "anchor", "class")
+            .join(classes.filter("n > 1").select("anchor", "class"), ["anchor", "class"])
+            .select("doc_id", "copy", "low", (F.col("low") + F.col("windows")).alias("high"))
+        )
+        several = classes.groupBy("anchor").agg(
+            F.count(F.lit(1)).alias("kinds"), ((F.sum(F.length("piece")) > most) & (F.min("first.slack") > 0)).alias("hot")
+        )
+        several = stored(several.filter("kinds > 1").select("anchor", "hot"), "repeat-longer")
+        left = classes.join(several, "anchor").select("first.*", "anchor", "piece", "hot")
+        cool.append(left.filter("NOT hot").select(*names[:-1]))
+        if several.filter("hot").isEmpty():
+            break
+        hot = left.filter("hot").select(*names[:-1])
+    return reduce(DataFrame.unionAll, cool), reduce(DataFrame.unionAll, whole)
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
 
 
@@ -274,9 +334,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     first = F.min(F.struct("doc_id", "copy", "low", "windows", "lead")).alias("first")
     classes = stored(shared.groupBy("anchor", "class").agg(F.count(F.lit(1)).alias("n"), first), "repeat-classes")
-    several = stored(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor"), "repeat-several")
-    asked = stored(classes.join(several, "anchor").select("anchor", "n", "first.*"), "repeat-asked")
-    per_text = asked.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("low", "windows", "anchor", "lead")).alias("wanted"))
+    size = F.sum(F.col("first.windows") + (length - 1))
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), (size > HOT_BYTES).alias("hot"))
+    several = stored(several.filter("kinds > 1").select("anchor", "hot"), "repeat-several")
+    asked = stored(classes.join(several, "anchor").select("anchor", "hot", "first.*"), "repeat-asked")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,25 +345,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist()
             ):
                 raw = text.as_buffer()
-                columns = [[w[c] for w in wanted] for c in ("low", "anchor", "lead")]
+                columns = [[w[c] for w in wanted] for c in ("low", "windows", "lead", "anchor")]
                 parts = [raw.slice(w["low"], w["windows"] + length - 1).to_pybytes() for w in wanted]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([doc_id] * len(wanted), pa.int64()), pa.array([copy] * len(wanted), pa.int64()),
-                        *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()))), pa.array(parts, pa.binary()),
+                        *(pa.array(c, t) for c, t in zip(columns[:3], (pa.int64(), pa.int32(), pa.int32()))),
+                        pa.array([length - GRAM] * len(wanted), pa.int32()), pa.array(columns[3], pa.int64()), pa.array(parts, pa.binary()),
                     ],
-                    ["doc_id", "copy", "low", "anchor", "lead", "piece"],
+                    ["doc_id", "copy", "low", "windows", "lead", "slack", "anchor", "piece"],
                 )
 
-    some = maybe_among(texts, "doc_id", asked.select("doc_id")).filter("_maybe").dropDuplicates(["doc_id", "copy"])
-    found = some.join(per_text, ["doc_id", "copy"]).select("doc_id", "copy", "text", "wanted")
-    found = found.mapInArrow(pieces, "doc_id long, copy long, low long, anchor long, lead int, piece binary")
-    partly = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        lambda b: _transform(b, length), "doc_id long, copy long, low long, high long"
-    )
+    def pieces_of(asked: DataFrame) -> DataFrame:
+        per_text = asked.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("low", "windows", "anchor", "lead")).alias("wanted"))
+        some = maybe_among(texts, "doc_id", asked.select("doc_id")).filter("_maybe").dropDuplicates(["doc_id", "copy"])
+        return some.join(per_text, ["doc_id", "copy"]).select("doc_id", "copy", "text", "wanted").mapInArrow(pieces, PIECE)
+
+    found = pieces_of(asked.filter("NOT hot"))
     wholly = shared.join(classes.filter("n > 1").select("anchor", "class"), ["anchor", "class"]).select(
         "doc_id", "copy", "low", (F.col("low") + F.col("windows")).alias("high")
     )
+    if not several.filter("hot").isEmpty():
+        cool, whole = split_hot(pieces_of(asked.filter("hot")), length, HOT_BYTES)
+        found, wholly = found.unionAll(cool), wholly.unionAll(whole)
+    partly = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
+        lambda b: _transform(b, length), "doc_id long, copy long, low long, high long"
+    )
     spans = stored(
         partly.unionAll(wholly).distinct().groupBy("doc_id", "copy").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "repeat-spans"
     )

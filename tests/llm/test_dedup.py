@@ -225,6 +225,48 @@ def test_crowded_anchor_in_pieces(monkeypatch):
         assert a.tolist() == b.tolist()
 
 
+@pytest.mark.parametrize("length", [60, 100, 101])
+def test_hot_anchor_is_split_before_the_shuffle(docs_of, monkeypatch, length):
+    rng = random.Random(length)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    hot, ends = text(70), [text(50) for _ in range(4)]
+    rows = [(i, (text(90) if i % 2 else rng.choice(ends)) + hot + (text(40) if i % 3 else rng.choice(ends)[: 20 + i % 30])) for i in range(120)]
+    rows += [(200 + i, rows[i][1][: 100 + i]) for i in range(30)]
+    want, transform = expected_removal(rows, length), repeats._transform
+
+    def watched(batches, n):
+        def seen():
+            for batch in batches:
+                per: Counter = Counter()
+                for anchor, piece in zip(batch.column("anchor").to_pylist(), batch.column("piece").to_pylist()):
+                    per[anchor] += len(piece)
+                assert all(v <= 3000 for v in per.values()), max(per.values())
+                yield batch
+
+        return transform(seen(), n)
+
+    monkeypatch.setattr(repeats, "HOT_BYTES", 3000, raising=False)
+    monkeypatch.setattr(repeats, "_transform", watched)
+    assert removal(docs_of(rows), length) == want
+
+
+def test_halves_keep_equal_windows_together():
+    rng = random.Random(8)
+    text = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    core, length = b"<" + text(46) + b">", 64
+    level = [(i, 0, 0, 17, 16, length - 48, 5, text(16) + core + text(16)) for i in range(300)]
+    want = {(r[0], k): r[-1][k : k + length] for r in level for k in range(17)}
+    while level[0][5]:
+        level = [h for row in level for h in repeats.halve(row, length)]
+        got = [((r[0], r[2] + k), r[6], r[-1][k : k + length]) for r in level for k in range(r[3])]
+        assert len(got) == len(want) and all(want[place] == window for place, _, window in got)
+        anchors = defaultdict(set)
+        for _, anchor, window in got:
+            anchors[window].add(anchor)
+        assert all(len(a) == 1 for a in anchors.values())
+        level.sort(key=lambda r: -r[5])
+
+
 def test_empty_tables(docs_of):
     none = docs_of([])
     assert exact.decide(none).count() == near.decide(none).count() == repeats.remove_repeats(none).count() == 0
