@@ -8,7 +8,11 @@ similarity precisely.  Texts with equal sets are one class; only class represent
    threshold are dropped, the rest is verified on the full sets, and the links are joined to components.
 2. A bucket whose members still belong to several components is looked at as a whole: members outside the
    component of the least one are compared with all others (sketch first, then full sets) inside one task, and
-   only links that join two components come out.  Members of a very large bucket are dealt over blocks.
+   only links that join two components come out.
+3. Members of such a bucket with more than ``BLOCK`` members meet again over a finer key, without a loss: with the
+   rarest shingles first, a pair at the threshold shares one of the first 1/7 of the smaller set and the first 1/4 of
+   the larger.  Documents that share only a common template don't meet there.  A shingle that still has very many
+   members is dealt over tiles of two blocks.
 
 A pair at the threshold shares a band with a probability above 0.99999, and is dropped by its sketch with one below
 1e-7.  No list of all pairs of a group is ever made.
@@ -39,8 +43,10 @@ SKETCH_BITS = 512
 #: Similarity as a ratio of whole numbers, and the sketch estimate below which a pair can't reach it.
 SHARE, OF = 75, 100
 LEAST_ESTIMATE = 0.5
-#: Members of a bucket that are compared in one task; a larger bucket is dealt over several.
+#: Members of a bucket that are compared in one task; the members of a larger one meet over their rare shingles.
 BLOCK = 4096
+#: Counters of how common shingles are; they steer the order of shingles, which any values leave exact.
+COUNTERS = 1 << 18
 SLICE_BYTES = 2 << 20
 
 _TIMES, _FLIP = constants(HASHES, 5), constants(HASHES, 6)
@@ -198,6 +204,80 @@ def bucket_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def tile_links(group: pd.DataFrame) -> pd.DataFrame:
+    """:func:`bucket_links` where a member may stand twice: among the compared and among the others."""
+    return bucket_links(group.sort_values("minor", ascending=False, kind="stable").drop_duplicates("rep"))
+
+
+def prefix_lengths(n: int) -> tuple[int, int]:
+    """How many first shingles of a set of ``n`` meet as the smaller and as the larger set of a pair."""
+    return n + 1 - -(-2 * SHARE * n // (SHARE + OF)), n + 1 - -(-SHARE * n // OF)
+
+
+def rare_shingles(crowd: DataFrame) -> DataFrame:
+    """``token, rep, label, indexed``: the rarest shingles of every set; ``indexed`` where it meets as the smaller."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column("members"):
+                np.add.at(total, unpack(raw.as_py()) % COUNTERS, 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+
+    counted = crowd.select("members").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)  # at most COUNTERS rows reach the driver
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, label, raw in zip(batch.column("rep").to_pylist(), batch.column("label").to_pylist(), batch.column("members")):
+                found = unpack(raw.as_py())
+                smaller, larger = prefix_lengths(len(found))
+                token = found[np.lexsort((found, often[found % COUNTERS]))[:larger]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token), pa.array(np.full(larger, rep)), pa.array(np.full(larger, label)), pa.array(np.arange(larger) < smaller)],
+                    ["token", "rep", "label", "indexed"],
+                )
+
+    return crowd.mapInArrow(run, "token long, rep long, label long, indexed boolean")
+
+
+def crowded_links(crowd: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links that join different components among all of ``crowd`` (``rep, label``), in tasks of two blocks at most."""
+    rows = stored(rare_shingles(crowd.join(sets, "rep").select("rep", "label", "members")), "near-rare")
+    many = F.count(F.lit(1)) > BLOCK
+    alike = F.when(many, F.bit_xor(F.xxhash64("rep", "indexed"))).otherwise(F.bit_xor(F.xxhash64("rep")))
+    groups = (
+        rows.groupBy("token")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("indexed").alias("smaller"), alike.alias("alike"),
+            F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "rep").alias("major"),
+        )
+        .filter("smaller > 0 AND low != high").groupBy("n", "alike")
+        .agg(F.min("token").alias("token"), F.min_by("smaller", "token").alias("smaller"), F.min_by("major", "token").alias("major"))
+    )
+    members = stored(rows.join(stored(groups.drop("alike"), "near-tokens"), "token"), "near-crowded")
+    outside = F.col("label") != F.col("major")
+    sized = stored(members.groupBy("token").agg(F.count_if(outside).alias("outside")), "near-outside")
+    # a pair to be found has one member outside the component of the least, and one that is indexed: the fewer are compared
+    fewer, block = F.least("outside", "smaller"), F.col("n") > BLOCK
+    members = members.join(sized, "token").select(
+        "token", "rep", "label", F.when(block & (F.col("smaller") < F.col("outside")), F.col("indexed")).otherwise(outside).alias("minor"),
+        F.when(block, F.ceil(fewer / BLOCK)).otherwise(1).cast("int").alias("rows"), F.ceil(F.col("n") / BLOCK).cast("int").alias("columns"),
+    )
+
+    def place(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("rep", F.lit(blocks)), F.col(blocks)).cast("int")
+
+    compared = members.filter("minor").withColumn("x", place("rows")).withColumn("y", F.explode(F.expr("sequence(0, columns - 1)")))
+    others = members.filter("NOT minor OR columns > 1").withColumn("minor", F.lit(False))
+    others = others.withColumn("x", F.explode(F.expr("sequence(0, rows - 1)"))).withColumn("y", place("columns"))
+    dealt = compared.unionByName(others).select("token", "x", "y", "rep", "label", "minor")
+    wide = dealt.join(sets, "rep").join(classes.select("rep", "sketch"), "rep")
+    return wide.groupBy("token", "x", "y").applyInPandas(tile_links, "a long, b long")
+
+
 def near_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """``set_key`` and the ``component_id`` of its class, from ``docs`` and the stored output of :func:`sign`."""
     some = signed.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
@@ -229,13 +309,14 @@ def near_components(docs: DataFrame, signed: DataFrame) -> DataFrame:
         .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("label", "rep").alias("major"))
         .filter("low != high").groupBy("n", "alike").agg(F.min("band").alias("band"), F.min_by("major", "band").alias("major"))
     )
+    open_ = stored(open_, "near-open")
     members = labelled.select("band", "rep", "label").join(open_.select("band", "n", "major"), "band")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    minor = F.col("label") != F.col("major")
-    block = F.when(minor, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int")))
-    dealt = members.select("band", "rep", "label", minor.alias("minor"), F.explode(block).alias("block"))
-    wide = dealt.join(sets, "rep").join(classes.select("rep", "sketch"), "rep")
-    more = wide.groupBy("band", "block").applyInPandas(bucket_links, "a long, b long")
+    few = members.filter(F.col("n") <= BLOCK).select("band", "rep", "label", (F.col("label") != F.col("major")).alias("minor"))
+    wide = few.join(sets, "rep").join(classes.select("rep", "sketch"), "rep")
+    more = wide.groupBy("band").applyInPandas(bucket_links, "a long, b long")
+    if not open_.filter(F.col("n") > BLOCK).isEmpty():
+        crowd = stored(members.filter(F.col("n") > BLOCK).select("rep", "label").distinct(), "near-crowd")
+        more = more.unionAll(crowded_links(crowd, sets, classes))
     second = components(more, "near-more")
 
     final = (

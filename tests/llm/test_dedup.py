@@ -117,6 +117,37 @@ def test_near_components(docs_of):
     assert Counter(tuple(r) for r in near.decide(docs_of(rows)).collect()) == expected_near(rows)
 
 
+def test_near_template_does_not_crowd_a_task(docs_of, monkeypatch):
+    """Documents that share a template but little else, with some near copies among them."""
+    rng = random.Random(12)
+    template = " ".join(f"t{i}" for i in range(40))
+    texts = []
+    for i in range(240):
+        own = [f"o{i}x{k}" for k in range(rng.choice([12, 20, 30]))]
+        texts.append(f"{template} {' '.join(own)}")
+        if i % 8 == 0:
+            own[rng.randrange(len(own))] = "changed"
+            texts += [f"{template} {' '.join(own)}", f"{template} {' '.join(own[:-2])} end"]
+    rows = list(enumerate(texts))
+    links = near.bucket_links
+
+    def watched(group):
+        assert len(group) <= 128, len(group)
+        return links(group)
+
+    monkeypatch.setattr(near, "BLOCK", 32)
+    monkeypatch.setattr(near, "bucket_links", watched)
+    assert Counter(tuple(r) for r in near.decide(docs_of(rows)).collect()) == expected_near(rows)
+
+
+def test_near_crowded_family(docs_of, monkeypatch):
+    texts = [t for seed in range(3) for t in near_family(seed, 60)] + near_family(7, 90, words=25)
+    rows = list(enumerate(texts))
+    random.Random(4).shuffle(rows)
+    monkeypatch.setattr(near, "BLOCK", 8)
+    assert Counter(tuple(r) for r in near.decide(docs_of(rows)).collect()) == expected_near(rows)
+
+
 def test_near_edges(docs_of, edge_rows):
     got = near.decide(docs_of(edge_rows)).collect()
     assert len(got) == len(edge_rows)
