@@ -16,11 +16,13 @@ to it, with none all rates are 1.  A target of a domain that no labelled row has
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.session import stored
@@ -57,18 +59,40 @@ def _hashed(found: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=BUCKETS, inputCol="_words", outputCol="_features", binary=True).transform(found)
 
 
+def _quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows of each domain in proportion to all its rows, at least one, ``rows`` together."""
+    total = sum(counts.values())
+    if total <= rows:
+        return counts
+    quota = {d: max(1, rows * n // total) for d, n in counts.items()}
+    while sum(quota.values()) > rows and max(quota.values()) > 1:
+        quota[max(quota, key=lambda d: (quota[d], d))] -= 1
+    return quota
+
+
+def _last_orders(known: DataFrame, counts: list, quota: dict[str, int]) -> DataFrame:
+    """``domain, _last``: where in the hash order the quota of each domain ends; one row per domain."""
+    # a hash below this share holds the quota but for a chance below 1e-9, so what is sorted stays bounded
+    share = {r["domain"]: min(1.0, (quota[r["domain"]] + 6 * quota[r["domain"]] ** 0.5 + 30) / r["count"]) for r in counts}
+    place = F.col("_order.place") / float(1 << 30)
+    near = reduce(Column.__or__, [(F.col("domain") == d) & (place < x) for d, x in share.items()])
+    ranked = known.filter(near).select("domain", "_order").withColumn("_rank", F.row_number().over(Window.partitionBy("domain").orderBy("_order")))
+    wanted = reduce(Column.__or__, [(F.col("domain") == d) & (F.col("_rank") <= n) for d, n in quota.items()])
+    return ranked.filter(wanted).groupBy("domain").agg(F.max("_order").alias("_last"))
+
+
 def fit_domains(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Domains:
-    """Fit on at most ``rows`` rows of ``doc_id, text, domain``, chosen by a hash of their id."""
+    """Fit on about ``rows`` rows of ``doc_id, text, domain`` at most, of each domain the first by a hash of their id."""
     known = labelled.select("doc_id", "text", F.col("domain").cast("string").alias("domain")).filter("domain IS NOT NULL")
     counts = known.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MOST_DOMAINS).collect()
     names = sorted(r["domain"] for r in counts)
     if len(names) < 2:
         return Domains(names, None)
-    # a share by hash bounds what is written; the limit bounds it for certain
-    total = sum(r["count"] for r in counts)
-    share = min(1.0, 1.5 * rows / total)
-    place = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.filter(place < share).limit(rows)
+    quota = _quotas({r["domain"]: r["count"] for r in counts}, rows)
+    known = known.withColumn("_order", F.struct(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)).alias("place"), "doc_id", F.xxhash64("text").alias("text")))
+    sample = known.filter(F.col("domain").isin(names))
+    if sum(r["count"] for r in counts) > rows:
+        sample = sample.join(F.broadcast(_last_orders(known, counts, quota)), "domain").filter(F.col("_order") <= F.col("_last"))
     sample = stored(_tokens(sample).select("_words", F.array_position(F.array(*[F.lit(n) for n in names]), F.col("domain")).alias("_class")), "mix-train")
     sample = _hashed(sample).withColumn("_label", (F.col("_class") - 1).cast("double")).filter("_label >= 0")
     logistic = LogisticRegression(
@@ -79,13 +103,9 @@ def fit_domains(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Domains:
 
 
 def language_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled rows of ``docs`` with their language as domain, at most about twice the training sample.
-
-    The ids come from the narrow label table, so what is broadcast is bounded.
-    """
+    """The labelled rows of ``docs`` with their language as domain; :func:`fit_domains` takes its sample from all of them."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    some = ids.orderBy(F.xxhash64("doc_id", F.lit("label")), "doc_id").limit(2 * TRAIN_ROWS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("domain")).join(F.broadcast(some), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("domain")).join(ids, "doc_id")
 
 
 def _dot(p: Column, step: np.ndarray) -> Column:

@@ -107,6 +107,24 @@ def test_mixing_rates_against_brute_force(spark):
     assert (rates == 0).any() and (rates > 1).any()
 
 
+def test_mixing_sample_is_chosen_by_hash_and_domain(spark, monkeypatch):
+    rows = [(i, f"w{i} the", "en" if i < 900 else ("de" if i < 990 else "fr")) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string")
+    kept, taken = mixing.stored, []
+
+    def watched(df, label):
+        out = kept(df, label)
+        taken.append(sorted((r["_class"], r["_words"]) for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(mixing, "stored", watched)
+    mixing.fit_domains(docs.repartition(7), 100)
+    mixing.fit_domains(docs.orderBy(F.desc("doc_id")).coalesce(1), 100)
+    place = {r["doc_id"]: r["place"] for r in docs.select("doc_id", F.expr("pmod(xxhash64(doc_id, 'train'), 1073741824)").alias("place")).collect()}
+    want = [r for d, n in (("en", 90), ("de", 9), ("fr", 1)) for r in sorted((r for r in rows if r[2] == d), key=lambda r: (place[r[0]], r[0]))[:n]]
+    assert taken[0] == taken[1] == sorted((["de", "en", "fr"].index(d) + 1, t.split()) for _, t, d in want)
+
+
 def test_mixing_edges(spark):
     docs = language_docs(spark, 30)
     none = docs.limit(0)
