@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, chat, exact, licenses, mixing, near, neighbours, pii, repeats, toxicity
+from assayer.llm import bpe, chat, exact, fim, licenses, mixing, near, neighbours, pii, repeats, simhash, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,42 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_personal_data")
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.decide(table(spark, sf_dir, "documents"))
+
+
+_FIM_SQL = r"""
+WITH t AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+           regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens
+    FROM documents
+), d AS (
+    SELECT *, len(tokens)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(tokens) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(tokens) + 1) AS c2,
+           CASE WHEN text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+    FROM t
+), p AS (
+    SELECT doc_id, text, n, form, array_to_string(tokens[1:least(c1, c2)], '') AS prefix,
+           array_to_string(tokens[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle, array_to_string(tokens[greatest(c1, c2) + 1:], '') AS suffix
+    FROM d
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query("op13_fill_in_middle", _FIM_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
