@@ -1,20 +1,22 @@
 """Similar pairs, threshold clusters and diverse picks within chunks of bounded size; nearest neighbours.
 
-Chunks are part of the method (at most 10,000 items, see ``sampling.chunks``), so a
-chunk is a bounded group: Spark shuffles by chunk and each task works on one bit matrix.
+Chunks are part of the method (at most 10,000 items, see ``sampling.chunks``).  A chunk's items are tiled by size; a task
+compares two tiles of at most 1,024 items over an inverted index of their rarest bits, and only pairs above the cutoff come
+out.  Clusters are found on that edge table, picks by rounds over all clusters at once; no task ever holds a whole chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.bits import N_BITS
+from assayer.functions.bits import N_BITS, tanimoto_words
 from assayer.operators.cleaning import keep_first
 from assayer.operators.ranking import row_positions
 from assayer.operators.sampling import MAX_CHUNK
@@ -23,6 +25,8 @@ from assayer.session import stored
 # fixed values: distance cutoffs of the two stages, picks per cluster
 FIRST_CUTOFF, SECOND_CUTOFF = 0.6, 0.3
 MAX_PICKS = 5
+# items of a tile, pairs verified at once, passes of the clustering (a chain of undecided points needs one each)
+TILE, PAIR_STEP, MAX_PASSES = 1024, 1 << 14, 1000
 BLOCK = 2048
 # a training table up to this size is sent to every task; a larger one is joined in blocks
 BROADCAST_TRAIN = 20_000
@@ -38,111 +42,252 @@ def _bit_matrix(bits: pd.Series, n_bits: int) -> np.ndarray:
     return out
 
 
-def _similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    both = (a @ b.T).astype(np.float64)
-    either = a.sum(1, dtype=np.float64)[:, None] + b.sum(1, dtype=np.float64)[None, :] - both
-    return np.divide(both, either, out=np.zeros_like(both), where=either > 0)
+def packed(df: DataFrame, columns: Sequence[str], bits: str, n_bits: int = N_BITS) -> DataFrame:
+    """``columns`` with the set bits as ``_words`` (64-bit words) and their number ``_size``; NULL bits are none."""
+    n_words = -(-n_bits // 64)
+    kept = [df.schema[c] for c in columns]
+    schema = T.StructType([*kept, T.StructField("_words", T.ArrayType(T.LongType())), T.StructField("_size", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            set_bits = batch.column(bits)
+            sizes = set_bits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            rows = np.zeros((batch.num_rows, n_words * 64), np.uint8)
+            rows[np.repeat(np.arange(batch.num_rows), sizes), set_bits.flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = 1
+            words = np.packbits(rows, axis=1, bitorder="little").view("<i8")
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n_words)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in columns), pa.ListArray.from_arrays(ends, pa.array(words.ravel())), pa.array(rows.sum(axis=1, dtype=np.int32))],
+                schema.names,
+            )
 
+    return df.select(*dict.fromkeys([*columns, bits])).mapInArrow(run, schema)
 
-def _check_chunk(n: int) -> None:
-    if n > MAX_CHUNK:
-        raise ValueError(f"a chunk holds {n} items, at most {MAX_CHUNK} are allowed; assign smaller chunks")
 
+def tiles(prints: DataFrame, group: Sequence[str], item_id: str, floor: float, most: int | None = MAX_CHUNK) -> DataFrame:
+    """Rows of ``prints`` (with ``_words``, ``_size``) once for every pair of tiles they take part in: ``_left, _right, _tile``.
 
-def similar_pairs(df: DataFrame, chunk: str, item_id: str, bits: str, min_similarity: float, n_bits: int = N_BITS) -> DataFrame:
-    """Pairs ``a < b`` of the same chunk with at least the given similarity."""
+    A group's rows are tiled by size, so all pairs that can reach the similarity ``floor`` meet in some pair of tiles, and pairs
+    of tiles whose sizes rule it out never come up.  No pair of tiles holds more than ``2 * TILE`` rows.
+    """
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("_size", item_id)) - 1
+    if most is not None:
+        too_many = F.raise_error(F.lit(f"a chunk holds more than {most} items; assign smaller chunks"))
+        place = F.when(place < most, place).otherwise(too_many.cast("int"))
+    tiled = stored(prints.withColumn("_tile", F.floor(place / F.lit(TILE)).cast("int")), "tiles")
+    sizes = tiled.groupBy(*group, "_tile").agg(F.min("_size").alias("_low"), F.max("_size").alias("_high"))
+    left = sizes.select(*group, F.col("_tile").alias("_left"), F.col("_high").alias("_left_high"))
+    right = sizes.select(*group, F.col("_tile").alias("_right"), F.col("_low").alias("_right_low"))
+    reach = (F.col("_left") <= F.col("_right")) & (F.col("_left_high") >= F.col("_right_low") * F.lit(floor))
+    pairs = left.join(right, list(group)).filter(reach).select(*group, "_left", "_right")  # at most 10 tiles a chunk
+    met = pairs.withColumn("_tile", F.explode(F.array_distinct(F.array("_left", "_right"))))
+    return tiled.join(met, [*group, "_tile"])
+
+
+def _products(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All (row of ``left``, row of ``right``) that share a column of these 0/1 matrices, once each."""
+    a_col, a_row = np.nonzero(left.T)
+    b_col, b_row = np.nonzero(right.T)
+    firsts = np.searchsorted(b_col, a_col, "left")
+    times = np.searchsorted(b_col, a_col, "right") - firsts
+    ends = np.cumsum(times)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times, times) + np.repeat(firsts, times)
+    code = np.unique(np.repeat(a_row, times).astype(np.int64) * len(right) + b_row[at])
+    return code // len(right), code % len(right)
+
+
+def candidates(left: np.ndarray, right: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two word matrices that may reach the similarity ``floor``.
+
+    With the rarest bits first, sets at the floor share one of the first ``size - ceil(floor * size) + 1`` bits of each.  An
+    inverted index over these bits gives the pairs; where it would name more pairs than there are, the sizes alone decide.
+    """
+    bits = [np.unpackbits(w.view(np.uint8), axis=1, bitorder="little") for w in (left, right)]
+    order = np.argsort(bits[0].sum(axis=0, dtype=np.int64) + bits[1].sum(axis=0, dtype=np.int64), kind="stable")
+    sizes, prefixes = [], []
+    for b in bits:
+        size = b.sum(axis=1, dtype=np.int64)
+        first = size - np.ceil(floor * size).astype(np.int64) + 1
+        b = b[:, order]
+        prefixes.append(b * (np.cumsum(b, axis=1, dtype=np.int32) <= first[:, None]))
+        sizes.append(size)
+    named = (prefixes[0].sum(axis=0, dtype=np.int64) * prefixes[1].sum(axis=0, dtype=np.int64)).sum()
+    if named < len(left) * len(right):
+        i, j = _products(*prefixes)
+    else:
+        i, j = np.divmod(np.arange(len(left) * len(right)), len(right))
+    a, b = sizes[0][i], sizes[1][j]
+    fits = (a > 0) & (np.minimum(a, b) >= floor * np.maximum(a, b))
+    return i[fits], j[fits]
+
+
+def similarities(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Shared over united bits of the rows ``i`` of ``left`` and ``j`` of ``right``; 0 for two empty ones."""
+    out = np.zeros(len(i))
+    for at in range(0, len(i), PAIR_STEP):
+        a, b = left[i[at : at + PAIR_STEP]], right[j[at : at + PAIR_STEP]]
+        both = np.bitwise_count(a & b).sum(axis=1, dtype=np.int64)
+        either = np.bitwise_count(a | b).sum(axis=1, dtype=np.int64)
+        out[at : at + PAIR_STEP] = np.divide(both, either, out=np.zeros(len(both)), where=either > 0)
+    return out
+
+
+def _words(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_list()).astype(np.int64).view(np.uint64)
+
+
+def _tile_pairs(df: DataFrame, group: Sequence[str], item_id: str, floor: float, accept: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``group, a, b, similarity`` of the accepted pairs among the rows that :func:`tiles` has dealt."""
     kind = df.schema[item_id].dataType
     schema = T.StructType(
-        [df.schema[chunk], T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())]
+        [*(df.schema[g] for g in group), T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())]
     )
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        _check_chunk(len(pdf))
-        pdf = pdf.sort_values(item_id, ignore_index=True)
-        m = _bit_matrix(pdf[bits], n_bits)
-        ids = pdf[item_id].to_numpy()
-        found = []
-        for start in range(0, len(pdf), BLOCK):
-            s = _similarity(m[start : start + BLOCK], m[start:])
-            i, j = np.nonzero(s >= min_similarity)
-            later = j > i
-            i, j = i[later], j[later]
-            found.append(pd.DataFrame({"a": ids[start + i], "b": ids[start + j], "similarity": s[i, j]}))
-        out = pd.concat(found, ignore_index=True)
-        out.insert(0, chunk, pdf[chunk].iloc[0])
-        return out
-
-    return df.select(chunk, item_id, bits).groupBy(chunk).applyInPandas(pairs, schema)
-
-
-def _greedy_clusters(near: np.ndarray) -> list[list[int]]:
-    """Founders by neighbour count, then position; each takes its free neighbours."""
-    order = np.lexsort((np.arange(len(near)), -near.sum(1)))
-    free = np.ones(len(near), dtype=bool)
-    out = []
-    for i in order:
-        if free[i]:
-            free[i] = False
-            members = np.flatnonzero(near[i] & free)
-            free[members] = False
-            out.append([int(i), *members.tolist()])
-    return out
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["_tile"] == pdf[c].iloc[0]] for c in ("_left", "_right")]
+        if not all(map(len, sides)):
+            return pd.DataFrame(columns=schema.names)
+        words, ids = [_words(s["_words"]) for s in sides], [s[item_id].to_numpy() for s in sides]
+        i, j = candidates(*words, floor)
+        if pdf["_left"].iloc[0] == pdf["_right"].iloc[0]:
+            i, j = i[i < j], j[i < j]
+        s = similarities(*words, i, j)
+        near = accept(s)
+        a, b, s = ids[0][i[near]], ids[1][j[near]], s[near]
+        swap = a > b
+        out = {g: pdf[g].iloc[0] for g in group}
+        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "similarity": s}).assign(**out)[schema.names]
+
+    return df.select(*group, "_left", "_right", "_tile", item_id, "_words").groupBy(*group, "_left", "_right").applyInPandas(compare, schema)
 
 
-def _diverse(members: list[int], similarity: np.ndarray) -> list[int]:
-    """Up to five members: the most central, then the farthest from all chosen."""
-    if len(members) <= MAX_PICKS:
-        return members
-    s = similarity[np.ix_(members, members)]
-    chosen = [int(np.argmax(s.mean(1)))]
-    gap = np.ones(len(members))
-    while len(chosen) < MAX_PICKS:
-        gap = np.minimum(gap, 1 - s[chosen[-1]])
-        open_gap = gap.copy()
-        open_gap[chosen] = -1.0
-        chosen.append(int(np.argmax(open_gap)))
-    return [members[c] for c in chosen]
+def similar_pairs(df: DataFrame, chunk: str, item_id: str, bits: str, min_similarity: float, n_bits: int = N_BITS) -> DataFrame:
+    """Pairs ``a < b`` of the same chunk with at least the given similarity, which must be above 0."""
+    if min_similarity <= 0:
+        raise ValueError("every pair is similar at 0; give a similarity above it")
+    floor = min_similarity - 1e-9
+    dealt = tiles(packed(df, [chunk, item_id], bits, n_bits), [chunk], item_id, floor)
+    return _tile_pairs(dealt, [chunk], item_id, floor, lambda s: s >= min_similarity)
+
+
+def _founders(edges: DataFrame) -> DataFrame:
+    """``chunk, rank`` of the points that found no cluster, from edges ``chunk, low, high`` between ranks.
+
+    Of the points still open, one without an open neighbour before it founds a cluster and takes its neighbours out.  That is
+    done for all such points of all chunks at once, until no edge between open points is left; what was never taken is a
+    founder, exactly as if the points had been visited one by one.  Every pass is stored.
+    """
+    taken = None
+    for _ in range(MAX_PASSES):
+        if edges.isEmpty():
+            return edges.select("chunk", F.col("low").alias("rank")) if taken is None else taken
+        behind = edges.select("chunk", F.col("high").alias("low")).distinct()
+        out = stored(edges.join(behind, ["chunk", "low"], "left_anti").select("chunk", F.col("high").alias("rank")).distinct(), "taken")
+        taken = out if taken is None else taken.unionAll(out)
+        gone = [out.withColumnRenamed("rank", c) for c in ("low", "high")]
+        edges = stored(edges.join(gone[0], ["chunk", "low"], "left_anti").join(gone[1], ["chunk", "high"], "left_anti").select("chunk", "low", "high"), "open")
+    raise RuntimeError(f"clusters are not settled after {MAX_PASSES} passes")
+
+
+def _clusters(prints: DataFrame, chunk: str, item_id: str, order: str, cutoff: float) -> DataFrame:
+    """``chunk, id, order, _words, _size, cluster, place, founder`` from stored prints."""
+    floor = 1 - cutoff - 1e-9
+    near = _tile_pairs(tiles(prints, [chunk], item_id, floor), [chunk], item_id, floor, lambda s: (1 - s) <= cutoff)
+    near = stored(near.select(F.col(chunk).alias("chunk"), "a", "b"), "near")
+    degree = near.select("chunk", F.explode(F.array("a", "b")).alias("id")).groupBy("chunk", "id").agg(F.count(F.lit(1)).alias("n"))
+    points = prints.select(F.col(chunk).alias("chunk"), F.col(item_id).alias("id"), F.col(order).alias("turn"))
+    # a chunk is bounded, so a window over it is too
+    visited = Window.partitionBy("chunk").orderBy(F.coalesce("n", F.lit(0)).desc(), "turn")
+    ranked = stored(points.join(degree, ["chunk", "id"], "left").select("chunk", "id", "turn", F.row_number().over(visited).alias("rank")), "ranks")
+    ends = {e: ranked.select("chunk", F.col("id").alias(e), F.col("rank").alias(f"_{e}")) for e in "ab"}
+    edges = stored(
+        near.join(ends["a"], ["chunk", "a"]).join(ends["b"], ["chunk", "b"])
+        .select("chunk", F.least("_a", "_b").alias("low"), F.greatest("_a", "_b").alias("high")), "edges",
+    )
+    taken = _founders(edges)
+    # a taken point belongs to the first founder beside it; that one may stand before or behind the founder that took it out
+    apart = edges.join(taken.select("chunk", F.col("rank").alias("low")), ["chunk", "low"], "left_anti")
+    first = apart.groupBy("chunk", F.col("high").alias("rank")).agg(F.min("low").alias("of"))
+    member = ranked.join(first, ["chunk", "rank"], "left").withColumn("of", F.coalesce("of", "rank"))
+    whole = Window.partitionBy("chunk", "of")
+    numbered = member.select(
+        F.col("chunk").alias(chunk), F.col("id").alias(item_id),
+        (F.dense_rank().over(Window.partitionBy("chunk").orderBy("of")) - 1).alias("cluster"),
+        (F.row_number().over(whole.orderBy(F.col("rank") != F.col("of"), "turn")) - 1).alias("place"),
+        F.max(F.when(F.col("rank") == F.col("of"), F.col("id"))).over(whole).alias("founder"),
+        F.count(F.lit(1)).over(whole).alias("_members"),
+    )
+    return prints.join(numbered, [chunk, item_id])
+
+
+def _mean_similarity(members: DataFrame, group: Sequence[str], item_id: str) -> DataFrame:
+    """``group, id, mean``: mean similarity of every member to its group, itself included, to 12 decimals."""
+    schema = T.StructType([*(members.schema[g] for g in group), members.schema[item_id], T.StructField("part", T.DoubleType())])
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [pdf[pdf["_tile"] == pdf[c].iloc[0]] for c in ("_left", "_right")]
+        words = [_words(s["_words"]) for s in sides]
+        parts = [np.zeros(len(s)) for s in sides]
+        for i in range(len(words[0])):
+            s = similarities(*words, np.full(len(words[1]), i), np.arange(len(words[1])))
+            parts[0][i] = s.sum()
+            parts[1] += s
+        both = [pd.DataFrame({item_id: s[item_id], "part": p}) for s, p in zip(sides, parts)]
+        own = pdf["_left"].iloc[0] == pdf["_right"].iloc[0]
+        return (both[0] if own else pd.concat(both, ignore_index=True)).assign(**{g: pdf[g].iloc[0] for g in group})[schema.names]
+
+    parts = tiles(members, group, item_id, 0.0).groupBy(*group, "_left", "_right").applyInPandas(sums, schema)
+    size = F.count(F.lit(1)).over(Window.partitionBy(*group))
+    total = parts.groupBy(*group, item_id).agg(F.sum("part").alias("total"))
+    return total.select(*group, item_id, F.round(F.col("total") / size, 12).alias("mean"))
+
+
+def diverse_picks(members: DataFrame, group: Sequence[str], item_id: str, place: str = "place") -> DataFrame:
+    """``group, id, pick``: up to five members per group, the most central first, then the farthest from all chosen.
+
+    ``members`` has ``_words`` and ``_size`` (see :func:`packed`) and the member's ``place``, which settles ties.  A group of up to
+    five is returned whole.  Each further pick is one round over all groups: distances to the last pick, then the largest.
+    """
+    group = list(group)
+    counted = members.withColumn("_members", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    small = counted.filter(F.col("_members") <= MAX_PICKS).select(*group, item_id, F.col(place).cast("int").alias("pick"))
+    large = stored(counted.filter(F.col("_members") > MAX_PICKS).select(*group, item_id, place, "_words", "_size"), "members")
+    chosen = F.struct(F.col(item_id).alias("id"), F.col("_words").alias("words"), F.col(place).alias("place"))
+    mean = _mean_similarity(large, group, item_id)
+    best = F.max_by(chosen, F.struct("mean", -F.col(place))).alias("_last")
+    last = stored(large.join(mean, [*group, item_id]).groupBy(*group).agg(best), "pick")
+    picks = [last]
+    open_ = large.withColumn("_gap", F.lit(1.0))
+    for k in range(1, MAX_PICKS):
+        gap = F.least("_gap", 1 - tanimoto_words(F.col("_words"), F.col("_last.words")))
+        open_ = open_.join(last, group).filter(F.col(place) != F.col("_last.place")).withColumn("_gap", gap).drop("_last")
+        if k < MAX_PICKS - 1:
+            open_ = stored(open_, "gaps")
+        last = stored(open_.groupBy(*group).agg(F.max_by(chosen, F.struct("_gap", -F.col(place))).alias("_last")), "pick")
+        picks.append(last)
+    for k, rows in enumerate(picks):
+        small = small.unionByName(rows.select(*group, F.col("_last.id").alias(item_id), F.lit(k).alias("pick")))
+    return small
 
 
 def cluster_chunks(
-    df: DataFrame, chunk: str, item_id: str, bits: str, cutoff: float, order: str | None = None, n_bits: int = N_BITS
+    df: DataFrame, chunk: str, item_id: str, bits: str, cutoff: float, order: str | None = None, n_bits: int = N_BITS, picks: bool = True
 ) -> DataFrame:
-    """Threshold clusters of each chunk: ``chunk, id, cluster, place, founder, pick``.
+    """Threshold clusters of each chunk: ``chunk, id, cluster, place, founder`` and, with ``picks``, ``pick``.
 
-    ``place`` 0 is the founder; ``pick`` numbers the diverse representatives, NULL for
-    other members.  Items are visited in the order of ``order`` (default: the id).
+    Points are visited by the number of their neighbours, then by ``order`` (default: the id); a point that is free then
+    founds a cluster of its free neighbours.  ``place`` 0 is the founder; ``pick`` numbers the diverse representatives, NULL
+    for other members.
     """
     order = order or item_id
-    schema = T.StructType(
-        [
-            df.schema[chunk],
-            df.schema[item_id],
-            T.StructField("cluster", T.IntegerType()),
-            T.StructField("place", T.IntegerType()),
-            T.StructField("founder", df.schema[item_id].dataType),
-            T.StructField("pick", T.IntegerType()),
-        ]
-    )
-
-    def clusters(pdf: pd.DataFrame) -> pd.DataFrame:
-        _check_chunk(len(pdf))
-        pdf = pdf.sort_values(order, ignore_index=True)
-        m = _bit_matrix(pdf[bits], n_bits)
-        similarity = _similarity(m, m)
-        near = (1 - similarity) <= cutoff
-        np.fill_diagonal(near, False)
-        ids = pdf[item_id].to_numpy()
-        rows = []
-        for c, members in enumerate(_greedy_clusters(near)):
-            picks = {p: k for k, p in enumerate(_diverse(members, similarity))}
-            rows += [(ids[i], c, place, ids[members[0]], picks.get(i)) for place, i in enumerate(members)]
-        out = pd.DataFrame(rows, columns=[item_id, "cluster", "place", "founder", "pick"])
-        out["pick"] = out["pick"].astype("Int32")
-        out.insert(0, chunk, pdf[chunk].iloc[0])
-        return out
-
-    columns = list(dict.fromkeys([chunk, item_id, order, bits]))
-    return df.select(*columns).groupBy(chunk).applyInPandas(clusters, schema)
+    prints = stored(packed(df, list(dict.fromkeys([chunk, item_id, order])), bits, n_bits), "prints")
+    found = _clusters(prints, chunk, item_id, order, cutoff)
+    columns = [chunk, item_id, "cluster", "place", "founder"]
+    if not picks:
+        return found.select(*columns)
+    found = stored(found.select(*columns, "_words", "_size"), "clusters")
+    chosen = diverse_picks(found, [chunk, "cluster"], item_id)
+    return found.select(*columns).join(chosen, [chunk, "cluster", item_id], "left").select(*columns, "pick")
 
 
 def two_stage(
@@ -167,7 +312,7 @@ def two_stage(
     # the second chunking reads the picks several times
     picks = stored(first.filter(F.col("pick").isNotNull()).select(item_id, turn.alias("_turn")), "picks")
     second = cluster_chunks(
-        chunked(prints.join(picks, item_id), "_turn"), "_chunk", item_id, bits, SECOND_CUTOFF, "_turn", n_bits
+        chunked(prints.join(picks, item_id), "_turn"), "_chunk", item_id, bits, SECOND_CUTOFF, "_turn", n_bits, picks=False
     )
     final_turn = F.col("_chunk") * MAX_CHUNK + F.col("cluster")
     founders = second.filter(F.col("place") == 0).select(item_id, final_turn.alias("_turn"))

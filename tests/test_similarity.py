@@ -1,11 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import bits as fp
 from assayer.operators import similarity
-from assayer.operators.sampling import MAX_CHUNK
 
 
 def prints(n, width=40, seed=0):
@@ -42,7 +42,7 @@ def greedy(rows, cutoff):
 def diverse(members, bits):
     if len(members) <= 5:
         return members
-    mean = [sum(tanimoto(bits[a], bits[b]) for b in members) / len(members) for a in members]
+    mean = [round(sum(tanimoto(bits[a], bits[b]) for b in members) / len(members), 12) for a in members]
     chosen = [members[mean.index(max(mean))]]
     while len(chosen) < 5:
         rest = [m for m in members if m not in chosen]
@@ -110,9 +110,79 @@ def test_two_stage_equals_sequential(spark, df, rows, chunk_size):
     assert {r.id for r in got.collect()} == want
 
 
-def test_chunk_bound_is_an_error():
+def test_chunk_bound_is_an_error(spark, df, monkeypatch):
+    packed = similarity.packed(df, ["chunk", "id"], "bits", 40)
+    assert similarity.tiles(packed, ["chunk"], "id", 0.5, 60).count() > 0
+    with pytest.raises(Exception, match="more than 59 items"):
+        similarity.tiles(packed, ["chunk"], "id", 0.5, 59).collect()
     with pytest.raises(ValueError):
-        similarity._check_chunk(MAX_CHUNK + 1)
+        similarity.similar_pairs(df, "chunk", "id", "bits", 0.0)
+
+
+@pytest.mark.parametrize("tile", [7, 1024])
+def test_tiles_change_nothing(df, rows, monkeypatch, tile):
+    monkeypatch.setattr(similarity, "TILE", tile)
+    got = similarity.similar_pairs(df, "chunk", "id", "bits", 0.4, 40).count()
+    assert got == sum(1 for i, c, x in rows for j, d, y in rows if i < j and c == d and tanimoto(x, y) >= 0.4)
+    found = similarity.cluster_chunks(df, "chunk", "id", "bits", 0.6, n_bits=40)
+    for c in (0, 1):
+        want = greedy([r for r in rows if r[1] == c], 0.6)
+        assert {r.founder for r in found.filter(F.col("chunk") == c).collect()} == {m[0] for m in want}
+
+
+def test_index_names_few_candidates():
+    r = random.Random(3)
+    sparse = np.zeros((600, 2048), np.uint8)
+    for row in sparse:  # some bits are common, as in real prints
+        row[[int(2048 * r.random() ** 3) for _ in range(45)]] = 1
+    sparse[300:330] = sparse[:30]
+    words = np.packbits(sparse, axis=1, bitorder="little").view("<u8")
+    i, j = similarity.candidates(words, words, 0.7)
+    assert len(i) < 600 * 600 / 8
+    both = sparse.astype(int) @ sparse.T.astype(int)
+    size = sparse.sum(axis=1, dtype=int)
+    near = np.argwhere(both >= 0.7 * (size[:, None] + size - both))
+    assert {tuple(p) for p in near.tolist()} <= set(zip(i.tolist(), j.tolist()))
+    # saturated prints: the sizes alone decide, nothing is lost
+    dense = (np.arange(40 * 64).reshape(40, 64) % 3 > 0).astype(np.uint8)
+    w = np.packbits(dense, axis=1, bitorder="little").view("<u8")
+    assert len(similarity.candidates(w, w, 0.4)[0]) == 1600
+
+
+def sequential_founders(n, edges):
+    """Visited by number of neighbours, then id; a free point founds a cluster."""
+    beside = {v: set() for v in range(n)}
+    for a, b in edges:
+        beside[a].add(b)
+        beside[b].add(a)
+    out, free = {}, set(range(n))
+    for v in sorted(beside, key=lambda v: (-len(beside[v]), v)):
+        if v in free:
+            members = {v} | (beside[v] & free)
+            free -= members
+            out |= dict.fromkeys(members, v)
+    return out
+
+
+def test_passes_equal_sequential_greedy_on_random_graphs(spark):
+    """200 graphs, one chunk each, settled by the same passes."""
+    r = random.Random(11)
+    graphs = []
+    for _ in range(200):
+        n = r.randint(5, 119)
+        p = r.choice([0.01, 0.05, 0.2, 0.6])
+        graphs.append((n, [(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < p]))
+    graphs[0] = (60, [(a, a + 1) for a in range(59)])  # a path
+    rows, rank = [], []
+    for g, (n, edges) in enumerate(graphs):
+        degree = [sum(v in e for e in edges) for v in range(n)]
+        place = {v: k for k, v in enumerate(sorted(range(n), key=lambda v: (-degree[v], v)))}
+        rank.append(place)
+        rows += [(g, *sorted((place[a], place[b]))) for a, b in edges]
+    taken = {(x.chunk, x.rank) for x in similarity._founders(spark.createDataFrame(rows, "chunk int, low int, high int")).collect()}
+    for g, (n, edges) in enumerate(graphs):
+        want = set(sequential_founders(n, edges).values())
+        assert {v for v in range(n) if (g, rank[g][v]) not in taken} == want
 
 
 @pytest.mark.parametrize("broadcast_rows", [10_000, 0])
