@@ -246,23 +246,23 @@ def _greedy_sql(prints: str, item: str, size: str, similar: str) -> str:
     """CTEs up to ``member``: the chunks' threshold clusters, found one founder at a time."""
     return f"""
   p AS (SELECT {item}, row_number() OVER (ORDER BY {item}) - 1 AS pos, count(*) OVER () AS rows, bits FROM {prints}),
-  c AS (SELECT {item}, pos // {size} + 1 AS chunk, bits FROM p),
-  s AS (SELECT chunk, a, b, CASE WHEN total = 0 THEN 0 ELSE shared / (total - shared) END AS similarity FROM (
-          SELECT l.chunk, l.{item} AS a, r.{item} AS b, len(list_intersect(l.bits, r.bits)) AS shared, len(l.bits) + len(r.bits) AS total
+  set_of AS (SELECT {item} AS of, bitstring_agg(x::INTEGER, 0, 2047) AS packed FROM (SELECT {item}, unnest(bits) AS x FROM p) GROUP BY {item}),
+  c AS MATERIALIZED (SELECT {item}, pos // {size} + 1 AS chunk, coalesce(packed, repeat('0', 2048)::BIT) AS bits FROM p LEFT JOIN set_of ON of = {item}),
+  s AS MATERIALIZED (SELECT chunk, a, b, CASE WHEN total = 0 THEN 0 ELSE shared / (total - shared) END AS similarity FROM (
+          SELECT l.chunk, l.{item} AS a, r.{item} AS b, bit_count(l.bits & r.bits) AS shared, bit_count(l.bits) + bit_count(r.bits) AS total
           FROM c l JOIN c r ON l.chunk = r.chunk AND l.{item} < r.{item})),
-  near AS (SELECT chunk, a, b FROM s WHERE {similar} UNION ALL SELECT chunk, b, a FROM s WHERE {similar}),
-  ranked AS (SELECT chunk, {item}, row_number() OVER (PARTITION BY chunk ORDER BY n DESC, {item}) AS rank
+  near AS MATERIALIZED (SELECT chunk, a, b FROM s WHERE {similar} UNION ALL SELECT chunk, b, a FROM s WHERE {similar}),
+  ranked AS MATERIALIZED (SELECT chunk, {item}, row_number() OVER (PARTITION BY chunk ORDER BY n DESC, {item}) AS rank
              FROM (SELECT c.chunk, c.{item}, count(near.b) AS n FROM c LEFT JOIN near ON near.chunk = c.chunk AND near.a = c.{item} GROUP BY ALL)),
-  beside AS (SELECT r.chunk, r.rank, list(o.rank) FILTER (o.rank IS NOT NULL) AS others
+  beside AS MATERIALIZED (SELECT r.chunk, r.rank, coalesce(list(o.rank) FILTER (o.rank IS NOT NULL), []) AS others
              FROM ranked r LEFT JOIN near ON near.chunk = r.chunk AND near.a = r.{item} LEFT JOIN ranked o ON o.chunk = r.chunk AND o.{item} = near.b
              GROUP BY r.chunk, r.rank),
   greedy AS (
-      SELECT chunk, 0 AS cluster, rank AS founder, list_prepend(rank, coalesce(others, [])) AS members, list_prepend(rank, coalesce(others, [])) AS done
-      FROM beside WHERE rank = 1
+      SELECT chunk, -1 AS cluster, 0::BIGINT AS founder, []::BIGINT[] AS members, list(rank ORDER BY rank) AS rest FROM ranked GROUP BY chunk
       UNION ALL
-      SELECT g.chunk, g.cluster + 1, b.rank, list_prepend(b.rank, list_filter(coalesce(b.others, []), lambda x: NOT list_contains(g.done, x))),
-             list_distinct(list_concat(g.done, list_prepend(b.rank, coalesce(b.others, []))))
-      FROM greedy g JOIN beside b ON b.chunk = g.chunk AND b.rank = (SELECT min(r.rank) FROM ranked r WHERE r.chunk = g.chunk AND NOT list_contains(g.done, r.rank))),
+      SELECT g.chunk, g.cluster + 1, b.rank, list_prepend(b.rank, list_intersect(b.others, g.rest)),
+             list_filter(g.rest, lambda x: x <> b.rank AND NOT list_contains(b.others, x))
+      FROM greedy g JOIN beside b ON b.chunk = g.chunk AND b.rank = g.rest[1]),
   member AS (
       SELECT m.chunk, r.{item}, m.cluster, row_number() OVER (PARTITION BY m.chunk, m.cluster ORDER BY m.rank <> m.founder, r.{item}) - 1 AS place, f.{item} AS founder
       FROM (SELECT chunk, cluster, founder, unnest(members) AS rank FROM greedy) m
@@ -286,17 +286,17 @@ def _picks_sql(item: str) -> str:
     """CTEs from ``member`` and ``s`` up to ``chosen``: five rounds, each over what the last one left."""
     rounds = f"""
   sized AS (SELECT *, count(*) OVER (PARTITION BY chunk, cluster) AS members FROM member),
-  alike AS (SELECT m.chunk, m.cluster, m.{item} AS a, o.{item} AS b, CASE WHEN m.{item} = o.{item} THEN 1.0::DOUBLE ELSE s.similarity END AS similarity
+  alike AS MATERIALIZED (SELECT m.chunk, m.cluster, m.{item} AS a, o.{item} AS b, CASE WHEN m.{item} = o.{item} THEN 1.0::DOUBLE ELSE s.similarity END AS similarity
             FROM sized m JOIN sized o ON o.chunk = m.chunk AND o.cluster = m.cluster
             LEFT JOIN s ON s.chunk = m.chunk AND s.a = least(m.{item}, o.{item}) AND s.b = greatest(m.{item}, o.{item}) WHERE m.members > 5),
-  left0 AS (SELECT m.chunk, m.cluster, m.{item}, m.place, 1.0::DOUBLE AS gap, round(avg(similarity), 12) AS score
+  left0 AS MATERIALIZED (SELECT m.chunk, m.cluster, m.{item}, m.place, 1.0::DOUBLE AS gap, round(avg(similarity), 12) AS score
             FROM sized m JOIN alike ON alike.chunk = m.chunk AND alike.cluster = m.cluster AND alike.a = m.{item} GROUP BY ALL)"""
     for k in range(5):
         rounds += f""",
   best{k} AS (SELECT chunk, cluster, {item}, {k} AS pick FROM (SELECT *, row_number() OVER (PARTITION BY chunk, cluster ORDER BY score DESC, place) AS r FROM left{k}) WHERE r = 1)"""
         if k < 4:
             rounds += f""",
-  left{k + 1} AS (SELECT l.chunk, l.cluster, l.{item}, l.place, least(l.gap, 1 - alike.similarity) AS gap, least(l.gap, 1 - alike.similarity) AS score
+  left{k + 1} AS MATERIALIZED (SELECT l.chunk, l.cluster, l.{item}, l.place, least(l.gap, 1 - alike.similarity) AS gap, least(l.gap, 1 - alike.similarity) AS score
             FROM left{k} l JOIN best{k} p ON p.chunk = l.chunk AND p.cluster = l.cluster AND p.{item} <> l.{item}
             JOIN alike ON alike.chunk = l.chunk AND alike.cluster = l.cluster AND alike.a = l.{item} AND alike.b = p.{item})"""
     union = " UNION ALL ".join(f"SELECT * FROM best{k}" for k in range(5))
@@ -309,7 +309,7 @@ _DOC_PRINTS_SQL = """chars AS (SELECT doc_id, unnest(string_split(text, '')) AS
             UNION ALL SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 1 AND 2),
   known AS (SELECT DISTINCT doc_id, gram FROM grams WHERE gram IS NOT NULL),
   set_bits AS (SELECT doc_id, list(DISTINCT ('0x' || substr(md5(gram), 1, 8))::BIGINT % 2048) AS bits FROM known GROUP BY doc_id),
-  doc_prints AS (SELECT doc_id, coalesce(bits, []) AS bits FROM documents LEFT JOIN set_bits USING (doc_id))"""
+  doc_prints AS MATERIALIZED (SELECT doc_id, coalesce(bits, []) AS bits FROM documents LEFT JOIN set_bits USING (doc_id))"""
 
 
 @query(
@@ -329,9 +329,9 @@ def _two_stage_sql(prints: str) -> str:
     """CTE ``founders`` (``doc_id, place``) from the CTE named ``prints`` (``doc_id, bits``); inner names stay inside."""
     size = _CHUNK_SQL.format(prints)
     return f"""
-  picks AS (WITH RECURSIVE {_greedy_sql(prints, 'doc_id', size, _LOOSE)}, {_picks_sql('doc_id')}
+  picks AS MATERIALIZED (WITH RECURSIVE {_greedy_sql(prints, 'doc_id', size, _LOOSE)}, {_picks_sql('doc_id')}
             SELECT doc_id, (chunk * 10000 + cluster) * 5 + pick AS turn FROM chosen),
-  turn_prints AS (SELECT turn, bits FROM picks JOIN {prints} USING (doc_id)),
+  turn_prints AS MATERIALIZED (SELECT turn, bits FROM picks JOIN {prints} USING (doc_id)),
   tight AS (WITH RECURSIVE {_greedy_sql('turn_prints', 'turn', size, _TIGHT)} SELECT * FROM member WHERE place = 0),
   founders AS (SELECT doc_id, chunk * 10000 + cluster AS place FROM tight JOIN picks USING (turn))"""
 
