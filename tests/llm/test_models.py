@@ -114,7 +114,8 @@ def test_mixing_sample_is_chosen_by_hash_and_domain(spark, monkeypatch):
 
     def watched(df, label):
         out = kept(df, label)
-        taken.append(sorted((r["_class"], r["_words"]) for r in out.collect()))
+        if label == "mix-train":
+            taken.append(sorted((r["_class"], r["_words"]) for r in out.collect()))
         return out
 
     monkeypatch.setattr(mixing, "stored", watched)
@@ -135,6 +136,65 @@ def test_mixing_edges(spark):
     assert {r["rate"] for r in mixing.mix(docs, labelled.limit(0)).collect()} == {1.0}
 
 
+def least_change(p, n, goal):
+    """The quadratic program by dual ascent: least token-weighted change of rates from 1, none below 0, totals as given."""
+    from itertools import product
+
+    best = None
+    for free in product([0, 1], repeat=len(n)):  # which rates stay above 0
+        free = np.array(free, bool)
+        gram = (p[free] * n[free, None]).T @ p[free]
+        step = np.linalg.lstsq(gram, (p[free] * n[free, None]).sum(axis=0) - goal, rcond=None)[0]
+        rates = np.where(free, 1 - p @ step, 0.0)
+        if (rates < -1e-9).any() or np.abs((p * (n * rates)[:, None]).sum(axis=0) - goal).max() > 1e-6 * n.sum():
+            continue
+        cost = (n * (rates - 1) ** 2).sum()
+        if best is None or cost < best[0]:
+            best = cost, rates
+    return best[1]
+
+
+def test_mixing_rates_equal_a_quadratic_program(spark):
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        p, n = rng.dirichlet([0.4, 0.4], 10), rng.integers(1, 30, 10)
+        members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "_n long, _p array<double>")
+        steps = mixing.fit_rates(members, ["a", "b"], {"a": 0.8, "b": 0.2}, tokens=float(n.sum()))
+        rates = np.ones(10)
+        for step in steps:
+            rates = np.maximum(0, rates - p @ step)
+        assert max(map(abs, steps.missed.values())) < 1e-8
+        want = least_change(p, n, np.array([0.8, 0.2]) * n.sum())
+        cost = lambda r: (n * (r - 1) ** 2).sum()
+        assert (rates >= 0).all() and cost(rates) <= cost(want) * 1.15
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    members = spark.createDataFrame([(10, [0.6, 0.4]), (10, [0.55, 0.45])], "_n long, _p array<double>")
+    steps = mixing.fit_rates(members, ["a", "b"], {"a": 0.9, "b": 0.1})
+    assert max(map(abs, steps.missed.values())) > 0.1
+
+
+def test_mixing_domains_without_target_and_too_many(spark):
+    assert mixing.wanted_shares(["a", "b", "c"], {"a": 3, "b": 1}, np.array([10.0, 10.0, 20.0])) == pytest.approx([0.375, 0.125, 0.5])
+    assert mixing.wanted_shares(["a", "b"], {"x": 1}, np.array([1.0, 3.0])) == pytest.approx([0.25, 0.75])
+    many = spark.createDataFrame([(i, "t", f"d{i}") for i in range(mixing.MOST_DOMAINS + 1)], "doc_id long, text string, domain string")
+    with pytest.raises(ValueError):
+        mixing.fit_domains(many)
+
+
+def test_mixing_leaves_columns_alone(spark):
+    docs = language_docs(spark, 60)
+    clash = docs.selectExpr("doc_id", "text", "lang", "7 AS _n", "array(1) AS _words", "'x' AS _p", "9 AS _copies", "8 AS _copy", "5 AS _row")
+    long = " ".join(f"the w{i}" for i in range(40_000))
+    more = spark.createDataFrame([(None, "the and", "en"), (None, None, None), (3, "the and", "en"), (3, "the and", "en"), (900, long, "en")], "doc_id long, text string, lang string")
+    clash = clash.unionByName(more, allowMissingColumns=True)
+    made = mixing.mixed(clash, mixing.language_rows(clash, clash))
+    assert made.columns == clash.columns
+    assert not {tuple(r) for r in made.select("doc_id", "text", "_n", "_p").collect()} - {tuple(r) for r in clash.select("doc_id", "text", "_n", "_p").collect()}
+    assert made.filter("doc_id = 900").first()["text"] == long
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, cell string")
 
