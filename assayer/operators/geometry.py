@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.session import stored
+
 # fixed values: contact cutoff, code of other elements, item and receptor types counted
 CUTOFF = 12.0
 OTHER_TYPE = 1000
@@ -17,7 +19,8 @@ TERMS = ["gauss1(inter)", "gauss2(inter)", "repulsion(inter)", "hydrophobic(inte
 
 # half the cutoff: two points of one cell are always in contact
 EDGE = CUTOFF / 2
-HOT_CELL = 4096
+# points of either side that meet in one group, about
+TILE_POINTS = 2048
 
 
 def feature_names() -> list[str]:
@@ -33,6 +36,52 @@ def _cells(atoms: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
     return points.withColumns({f"_c{a}": F.floor(F.col(a) / EDGE) for a in "xyz"})
 
 
+def _offsets() -> Column:
+    """The 124 neighbours of a cell, as differences."""
+    every = F.transform(
+        F.sequence(F.lit(0), F.lit(124)),
+        lambda i: F.struct((F.floor(i / 25) - 2).alias("x"), (F.floor(i / 5) % 5 - 2).alias("y"), (i % 5 - 2).alias("z")),
+    )
+    return F.filter(every, lambda o: (o["x"] != 0) | (o["y"] != 0) | (o["z"] != 0))
+
+
+def _dealt(items: DataFrame, receptors: DataFrame, receptor_id: str) -> tuple[DataFrame, DataFrame]:
+    """Item points and receptor points that may be in contact across cells, under the tile pairs where they meet.
+
+    Cells are planned first.  Only occupied receptor cells are expanded to their 124 neighbours, and of these only cells with
+    items stay, so no point is ever copied to an empty cell.  The receptor points of a cell and the item points that reach it
+    are both cut into tiles of about ``TILE_POINTS``; every pair of tiles is a group of its own.
+    """
+    place = ["_cx", "_cy", "_cz"]
+    cell = [receptor_id, *place]
+    occupied = receptors.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n_far"))
+    with_items = items.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n_near"))
+    reach = occupied.withColumn("_o", F.explode(_offsets())).select(
+        receptor_id, *[F.col(c).alias(f"_to{c}") for c in place], "_n_far", *[(F.col(f"_c{a}") - F.col(f"_o.{a}")).alias(f"_c{a}") for a in "xyz"]
+    )
+    pairs = stored(reach.join(with_items, cell), "cell-pairs")
+    to = [receptor_id, *[f"_to{c}" for c in place]]
+
+    def tiles(points: Column) -> Column:
+        return F.ceil(points / F.lit(float(TILE_POINTS)))
+
+    load = pairs.groupBy(*to).agg(tiles(F.sum("_n_near")).alias("_near_tiles"), tiles(F.max("_n_far")).alias("_far_tiles"))
+    # a cell reaches 124 others at most, so its plan is one short array
+    entry = F.struct(*[F.col(f"_to{c}") for c in place], "_near_tiles", "_far_tiles")
+    plan = pairs.join(load, to).groupBy(*cell).agg(F.collect_list(entry).alias("_plan"))
+    near = items.join(plan, cell).withColumn("_p", F.explode("_plan")).select(
+        *[c for c in items.columns if c not in place],
+        *[F.col(f"_p._to{c}").alias(c) for c in place],
+        F.pmod(F.xxhash64(*[c for c in items.columns if c not in place]), F.col("_p._near_tiles")).alias("_near"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p._far_tiles") - 1)).alias("_far"),
+    )
+    far = receptors.join(load.withColumnsRenamed({f"_to{c}": c for c in place}), cell).select(
+        *receptors.columns, F.pmod(F.xxhash64("x", "y", "z", "type"), F.col("_far_tiles")).alias("_far"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_near_tiles") - 1)).alias("_near"),
+    )
+    return near, far
+
+
 def contacts(
     item_atoms: DataFrame, receptor_atoms: DataFrame, complex_id: str = "complex_id", receptor_id: str | None = None
 ) -> DataFrame:
@@ -43,14 +92,14 @@ def contacts(
     each receptor is held once.
 
     Points meet over grid cells of half the cutoff.  Points in the same cell are always
-    in contact, so their counts are multiplied without forming pairs; only the 124
-    neighbouring cells are verified point by point.  A crowded cell is split over salts
-    on the receptor side.
+    in contact, so their counts are multiplied without forming pairs; neighbouring cells
+    are verified point by point, tile against tile.
     """
     receptor_id = receptor_id or complex_id
     owner = list(dict.fromkeys([complex_id, receptor_id]))
-    items = _cells(item_atoms, owner, "_n")
-    receptors = _cells(receptor_atoms.filter(F.col("type") < len(RECEPTOR_ELEMENTS)), [receptor_id], "_m")
+    # both sides are read by the plan of the cells and by the join
+    items = stored(_cells(item_atoms, owner, "_n"), "item-points")
+    receptors = stored(_cells(receptor_atoms.filter(F.col("type") < len(RECEPTOR_ELEMENTS)), [receptor_id], "_m"), "receptor-points")
     place = ["_cx", "_cy", "_cz"]
     cell = [receptor_id, *place]
 
@@ -60,34 +109,14 @@ def contacts(
         complex_id, "item_type", "receptor_type", (F.col("_n") * F.col("_m")).alias("_pairs")
     )
 
-    # crowded receptor cells get several salts; their item points are repeated per salt
-    crowd = receptors.groupBy(*cell).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(HOT_CELL))).alias("_salts"))
-    salted = receptors.join(crowd, cell).withColumn(
-        "_salt", F.pmod(F.xxhash64("x", "y", "z", "type"), F.col("_salts"))
-    )
-    offsets = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(124)),
-            lambda i: F.struct(
-                (F.floor(i / 25) - 2).alias("x"), (F.floor(i / 5) % 5 - 2).alias("y"), (i % 5 - 2).alias("z")
-            ),
-        ),
-        lambda o: (o["x"] != 0) | (o["y"] != 0) | (o["z"] != 0),
-    )
-    near = items.withColumn("_o", F.explode(offsets)).select(
-        *owner, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"),
-        F.col("type").alias("item_type"), "_n",
-        *[(F.col(f"_c{a}") + F.col(f"_o.{a}")).alias(f"_c{a}") for a in "xyz"],
-    )
-    # item points whose neighbour cell is empty drop out here
-    near = near.join(crowd, cell).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
+    near, far = _dealt(items, receptors, receptor_id)
+    near = near.withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", "type": "item_type"})
 
-    def gap(axis: str):
+    def gap(axis: str) -> Column:
         return (F.col(axis) - F.col(f"_{axis}")) * (F.col(axis) - F.col(f"_{axis}"))
 
     verified = (
-        near.drop("_salts")
-        .join(salted.drop("_salts"), [*cell, "_salt"])
+        near.join(far, [*cell, "_near", "_far"])
         .filter(gap("x") + gap("y") + gap("z") < CUTOFF * CUTOFF)
         .select(complex_id, "item_type", F.col("type").alias("receptor_type"), (F.col("_n") * F.col("_m")).alias("_pairs"))
     )

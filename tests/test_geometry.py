@@ -22,9 +22,9 @@ def cloud(n, seed, spread, types):
     return [(r.choice([1, 1, 2]), *(round(r.uniform(-spread, spread), 2) for _ in range(3)), r.choice(types)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("hot_cell", [4096, 3])
-def test_contacts_equal_brute_force(spark, monkeypatch, hot_cell):
-    monkeypatch.setattr(geometry, "HOT_CELL", hot_cell)
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_contacts_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(geometry, "TILE_POINTS", tile)
     items = cloud(80, 1, 20, [0, 1, 8, 1000]) + [(1, 0.0, 0.0, 0.0, 0)] * 3
     receptors = cloud(150, 2, 20, [0, 1, 2, 3, 4, 1000]) + [(1, 12.0, 0.0, 0.0, 0), (1, 11.999, 0.0, 0.0, 0)]
     got = geometry.contacts(spark.createDataFrame(items, ATOMS), spark.createDataFrame(receptors, ATOMS)).collect()
@@ -40,6 +40,29 @@ def test_a_shared_receptor_is_held_once(spark):
     assert {(r.complex_id, r.item_type, r.receptor_type): r.n_contacts for r in got} == want
 
 
+def test_a_crowded_receptor_is_dealt_over_bounded_groups(spark):
+    """10,000 items in one pocket of one receptor: several groups per cell, none of them large."""
+    r = random.Random(6)
+    items = spark.range(10_000).select(
+        F.col("id").alias("complex_id"), F.lit(1).cast("long").alias("receptor"),
+        *[(F.rand(seed) * 5.9).alias(a) for a, seed in zip("xyz", (1, 2, 3))], F.lit(0).alias("type"),
+    )
+    receptor = spark.createDataFrame([(1, r.uniform(6, 11.9), r.uniform(0, 5.9), r.uniform(0, 5.9), i % 4) for i in range(5000)], ATOMS.replace("complex_id", "receptor"))
+    near, far = geometry._dealt(geometry._cells(items, ["complex_id", "receptor"], "_n"), geometry._cells(receptor, ["receptor"], "_m"), "receptor")
+    key = ["receptor", "_cx", "_cy", "_cz", "_near", "_far"]
+    sizes = near.groupBy(*key).count().withColumnRenamed("count", "a").join(far.groupBy(*key).count().withColumnRenamed("count", "b"), key, "outer").collect()
+    assert len(sizes) == 15  # five tiles of items against three of the receptor
+    assert all(s.a < 1.3 * geometry.TILE_POINTS and s.b < 1.3 * geometry.TILE_POINTS for s in sizes)
+    assert near.count() == 3 * 10_000 and far.count() == 5 * 5000
+
+
+def test_no_point_goes_to_an_empty_cell(spark):
+    items = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0), (1, 500.0, 0.0, 0.0, 0)], ATOMS)
+    receptors = spark.createDataFrame([(1, 8.0, 0.0, 0.0, 0), (2, 0.0, 0.0, 0.0, 0)], ATOMS)
+    near, far = geometry._dealt(geometry._cells(items, ["complex_id"], "_n"), geometry._cells(receptors, ["complex_id"], "_m"), "complex_id")
+    assert (near.count(), far.count()) == (1, 1)
+
+
 def test_distance_of_exactly_the_cutoff_is_no_contact(spark):
     items = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0)], ATOMS)
     at = spark.createDataFrame([(1, 12.0, 0.0, 0.0, 0)], ATOMS)
