@@ -1,10 +1,9 @@
 """Exact ranks, quantiles, positions and top-k over whole tables, without a one-task window.
 
-The shared building block is ``value_positions``: rows are first collapsed to distinct
-values with counts (a hot value becomes one row), the distinct values are cut into
-buckets at approximate quantiles, each bucket is summed in its own window group, and
-a small table of bucket totals supplies the offsets.  Any monotone cut gives the exact
-answer, so the approximate cut points only steer balance.
+The shared building block is a range partitioning: rows (or distinct values with counts, so that a hot value is one row) are
+dealt over contiguous ranges of their order, as many as the session's shuffle makes of their bytes, and stored with the
+number of their range.  Each range is summed in its own window group, and a small table of range totals supplies what
+stands before it.  Any cut gives the exact answer; where the cuts lie only steers balance.
 """
 
 from __future__ import annotations
@@ -15,42 +14,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.operators.skew import attach_by_key
+from assayer.session import stored
 
-BUCKETS = 64
 SMALL_K = 10_000
 
 
-def _cut_points(value: str, buckets: int, counted: bool) -> Column:
-    steps = F.expr("array(" + ", ".join(f"{i / buckets}D" for i in range(1, buckets)) + ")")
-    v = F.col(value).cast("double")
-    # naming the count keeps this branch on the same shuffle as the ranks
-    return F.percentile_approx(F.when(F.col("pos_n") > 0, v) if counted else v, steps, F.lit(10 * buckets))
-
-
-def _bucket_of(value: str, cuts: str) -> Column:
-    v = F.col(value).cast("double")
-    # never NULL, so joins on the bucket add no filter and the plan's branches stay shareable
-    return F.coalesce(F.size(F.filter(F.col(cuts), lambda c: c < v)), F.lit(0))
+def _sorts(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
 
 
-def _with_bucket(rows: DataFrame, counts: DataFrame, value: str, by: Sequence[str], buckets: int) -> DataFrame:
-    if by:
-        cuts = counts.groupBy(*by).agg(_cut_points(value, buckets, "pos_n" in counts.columns).alias("_cuts"))
-        out = rows.join(cuts, list(by))
-    else:
-        # one row, attached as a scalar subquery
-        out = rows.withColumn("_cuts", counts.agg(_cut_points(value, buckets, "pos_n" in counts.columns)).scalar())
-    return out.withColumn("_bucket", _bucket_of(value, "_cuts")).drop("_cuts")
+def _ranged(rows: DataFrame, by: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
+    """``rows`` stored with ``_range``, the number of the contiguous range of (group, order) each lies in."""
+    dealt = rows.repartitionByRange(*[F.col(c) for c in by], *_sorts(order))
+    return stored(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def _bucket_offsets(bucketed: DataFrame, by: Sequence[str], n: Column, bucket: str = "_bucket") -> DataFrame:
-    """Rows and distinct values before each bucket; at most ``buckets`` rows per group."""
-    totals = bucketed.groupBy(*by, bucket).agg(F.sum(n).alias("_rows"), F.count(F.lit(1)).alias("_values"))
+def _range_offsets(ranged: DataFrame, by: Sequence[str], n: Column) -> DataFrame:
+    """Rows and values before each range; a row per range, and one more per further group in it."""
+    totals = ranged.groupBy(*by, "_range").agg(F.sum(n).alias("_rows"), F.count(F.lit(1)).alias("_values"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(
-        *by,
-        bucket,
+        *by, "_range", "_rows",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("_values").over(before), F.lit(0)).alias("_values_before"),
         F.sum("_rows").over(group).alias("pos_total"),
@@ -58,13 +43,12 @@ def _bucket_offsets(bucketed: DataFrame, by: Sequence[str], n: Column, bucket: s
     )
 
 
-def _join_offsets(bucketed: DataFrame, offsets: DataFrame, by: Sequence[str], bucket: str = "_bucket") -> DataFrame:
-    # ungrouped offsets have at most one row per bucket, so the broadcast is bounded
-    side = offsets if by else F.broadcast(offsets)
-    return bucketed.join(side, [*by, bucket])
+def _join_offsets(ranged: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    # ungrouped offsets have one row per range, so the broadcast is bounded
+    return ranged.join(offsets if by else F.broadcast(offsets), [*by, "_range"])
 
 
-def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
+def value_positions(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct non-null value (per group).
 
     Columns: ``*by, value, pos_n`` (rows with that value), ``pos_before`` (rows with a
@@ -72,15 +56,13 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), buckets:
     """
     by = list(by)
     present = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("pos_n"))
-    bucketed = _with_bucket(counts, counts, value, by, buckets)
-    offsets = _bucket_offsets(bucketed, by, F.col("pos_n"))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value)
+    counts = _ranged(present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("pos_n")), by, [(value, True)])
+    inside = Window.partitionBy(*by, "_range").orderBy(value)
     running = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = bucketed.withColumn("_local", F.coalesce(F.sum("pos_n").over(running), F.lit(0))).withColumn(
+    local = counts.withColumn("_local", F.coalesce(F.sum("pos_n").over(running), F.lit(0))).withColumn(
         "_local_index", F.row_number().over(inside) - 1
     )
-    return _join_offsets(local, offsets, by).select(
+    return _join_offsets(local, _range_offsets(counts, by, F.col("pos_n")).drop("_rows"), by).select(
         *by,
         value,
         "pos_n",
@@ -91,6 +73,16 @@ def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), buckets:
     )
 
 
+def places(rows: DataFrame, order: Sequence[tuple[str, bool]], out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Narrow ``rows`` with their place from 0 in the order ``[(column, ascending), ...]`` (of their group); no two rows tie."""
+    by = list(by)
+    ranged = _ranged(rows, by, order)
+    local = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*_sorts(order))) - 1
+    offsets = _range_offsets(ranged, by, F.lit(1)).select(*by, "_range", "_rows_before")
+    placed = _join_offsets(ranged.withColumn("_local", local), offsets, by)
+    return placed.select(*rows.columns, (F.col("_rows_before") + F.col("_local")).alias(out))
+
+
 def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Rank from 1 with ties averaged; NULL and NaN get a NULL rank."""
     pos = value_positions(df, value, by)
@@ -126,16 +118,9 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[st
     return grouped.select(*by, F.array(*points).alias(out))
 
 
-def row_positions(df: DataFrame, order: str, out: str, buckets: int = BUCKETS) -> DataFrame:
-    """Position from 0 of every row in the order of a numeric column whose values are unique."""
-    keyed = df.select(order)
-    bucketed = _with_bucket(df, keyed, order, [], buckets)
-    offsets = _bucket_offsets(_with_bucket(keyed, keyed, order, [], buckets), [], F.lit(1))
-    inside = Window.partitionBy("_bucket").orderBy(order)
-    placed = bucketed.withColumn("_local", F.row_number().over(inside) - 1)
-    return _join_offsets(placed, offsets.select("_bucket", "_rows_before"), []).select(
-        *df.columns, (F.col("_rows_before") + F.col("_local")).alias(out)
-    )
+def row_positions(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Position from 0 of every row in the order of a column whose values are unique."""
+    return df.join(places(df.select(order), [(order, True)], out), order).select(*df.columns, out)
 
 
 def top_k(df: DataFrame, k: int, order: Sequence[tuple[str, bool]]) -> DataFrame:
@@ -145,9 +130,8 @@ def top_k(df: DataFrame, k: int, order: Sequence[tuple[str, bool]]) -> DataFrame
     above every number, so NULL comes first ascending and last descending; a NULL text counts as empty.
 
     Small k is a plain top-k, which keeps k rows per task.  A large k (a share of the
-    library) finds the cut value of the first column from counts and filters on it, so
-    no block of k rows passes the driver; only rows equal to the cut go on to the next
-    column.  Both follow the same rule.
+    library) finds the sort keys of the last row that qualifies and filters on them, so
+    no block of k rows passes the driver.  Both follow the same rule.
     """
     if k <= SMALL_K:
         made, keys = _sort_keys(df, order)
@@ -156,9 +140,22 @@ def top_k(df: DataFrame, k: int, order: Sequence[tuple[str, bool]]) -> DataFrame
 
 
 def best_share(df: DataFrame, k: Column, order: Sequence[tuple[str, bool]]) -> DataFrame:
-    """``top_k`` for a k that is itself computed (a scalar subquery), always by the cut value."""
+    """``top_k`` for a k that is itself computed (a scalar subquery), always by the last row that qualifies.
+
+    The sort keys alone are dealt over ranges of their whole order, so rows that tie in the first columns lie in many
+    ranges.  Counts tell which range holds the k-th row; its keys are the cut, and one filter over ``df`` follows.
+    """
     made, keys = _sort_keys(df, order)
-    return _threshold_top_k(made, k, keys).select(*df.columns)
+    ranged = _ranged(made.select(*dict.fromkeys(c for c, _ in keys)), [], keys)
+    last = _range_offsets(ranged, [], F.lit(1)).filter((F.col("_rows_before") < k) & (F.col("_rows_before") + F.col("_rows") >= k))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*_sorts(keys)))
+    inside = ranged.join(F.broadcast(last.select("_range", "_rows_before")), "_range").withColumn("_place", place)  # one range
+    cut = inside.filter(F.col("_rows_before") + F.col("_place") == k).agg(F.max(F.struct(*[c for c, _ in keys])).alias("c")).scalar()
+    first = F.lit(True)
+    for column, up in reversed(keys):
+        at = cut.getField(column)
+        first = (F.col(column) < at if up else F.col(column) > at) | ((F.col(column) == at) & first)
+    return made.filter((k > 0) & (cut.isNull() | first)).select(*df.columns)
 
 
 def _sort_keys(df: DataFrame, order: Sequence[tuple[str, bool]]) -> tuple[DataFrame, list[tuple[str, bool]]]:
@@ -182,63 +179,24 @@ def _sort_keys(df: DataFrame, order: Sequence[tuple[str, bool]]) -> tuple[DataFr
     return df, keys
 
 
-def _threshold_top_k(df: DataFrame, k: Column, order: Sequence[tuple[str, bool]]) -> DataFrame:
-    (column, up), rest = order[0], order[1:]
-    numeric = dict(df.dtypes)[column] != "string"
-    key = column if numeric else "_key"
-    if not numeric:
-        # a string is ordered by its first seven bytes as a number, then by itself
-        df = df.withColumn(
-            "_key", F.conv(F.rpad(F.substring(F.hex(F.encode(column, "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
-        )
-    pos = value_positions(df, key)
-    ahead = F.col("pos_before") if up else F.col("pos_total") - F.col("pos_before") - F.col("pos_n")
-    # one row: the cut value and how many of its rows still fit
-    edge = pos.filter((ahead < k) & (ahead + F.col("pos_n") >= k)).agg(
-        F.struct(F.max(key).alias("at"), F.max(k - ahead).alias("left")).alias("e")
-    )
-    at, left = edge.scalar().getField("at"), edge.scalar().getField("left")
-    inside = F.col(key) < at if up else F.col(key) > at
-    sure = df.filter((at.isNull() & (k > 0)) | inside)
-    tied = df.filter(F.col(key) == at)
-    if numeric and rest:
-        chosen = _threshold_top_k(tied, left, rest)
-    else:
-        # rows sharing one key value: the remaining order is a unique name
-        last = [(column, up), *rest] if not numeric else rest or [(column, up)]
-        w = Window.partitionBy(key).orderBy(*[F.col(c).asc() if a else F.col(c).desc() for c, a in last])
-        chosen = tied.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= left).drop("_n")
-    out = sure.unionByName(chosen)
-    return out if numeric else out.drop("_key")
-
-
 def best_n_per_group(
     df: DataFrame, by: Sequence[str], value: str, n: int | Column, tie: str, descending: bool = False
 ) -> DataFrame:
-    """The ``n`` lowest (or highest) values of each group; rows equal at the cut go by the unique numeric ``tie``."""
+    """The ``n`` lowest (or highest) values of each group; rows equal at the cut go by the unique ``tie``."""
     by = list(by)
     present = df.filter(F.col(value).isNotNull())
-    n = F.lit(n) if isinstance(n, int) else n
-    pos = value_positions(present, value, by)
-    ahead = F.col("pos_total") - F.col("pos_before") - F.col("pos_n") if descending else F.col("pos_before")
-    cut = pos.withColumn("_ahead", ahead).filter(F.col("_ahead") < n).withColumn("_rows", F.col("pos_n"))
-    kept = attach_by_key(present, cut, [*by, value], ["_ahead", "_rows"]).filter(F.col("_ahead").isNotNull())
-    room = n - F.col("_ahead")
-    whole = kept.filter(F.col("_rows") <= room)
-    # one value per group reaches the cut, so the tie order within the group decides
-    edge = kept.filter(F.col("_rows") > room).withColumn("_room", room)
-    places = value_positions(edge.select(*by, tie), tie, by).select(*by, tie, F.col("pos_before").alias("_place"))
-    part = edge.join(places, [*by, tie]).filter(F.col("_place") < F.col("_room"))
-    return whole.select(*df.columns).unionByName(part.select(*df.columns))
+    placed = places(present.select(*dict.fromkeys([*by, value, tie])), [(value, not descending), (tie, True)], "_place", by)
+    kept = placed.filter(F.col("_place") < (F.lit(n) if isinstance(n, int) else n))
+    return present.join(kept.select(*dict.fromkeys([*by, tie])), list(dict.fromkeys([*by, tie])), "left_semi")
 
 
 def ordered_rank(df: DataFrame, value: str, tie: str, out: str, by: Sequence[str], descending: bool = False) -> DataFrame:
-    """Rank from 1 without ties: by value, then by ``tie``."""
-    pos = value_positions(df, value, by)
-    ahead = F.col("pos_total") - F.col("pos_before") - F.col("pos_n") if descending else F.col("pos_before")
-    ranked = attach_by_key(df, pos.withColumn("_ahead", ahead), [*by, value], ["_ahead"])
-    same = Window.partitionBy(*by, value).orderBy(tie)
-    return ranked.withColumn(out, (F.col("_ahead") + F.row_number().over(same)).cast("long")).drop("_ahead")
+    """Rank from 1 without ties: by value, then by the unique ``tie``; a row without a value has no rank."""
+    by = list(by)
+    keys = list(dict.fromkeys([*by, tie]))
+    present = df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*by, value, tie]))
+    placed = places(present, [(value, not descending), (tie, True)], "_place", by).select(*keys, "_place")
+    return df.join(placed, keys, "left").withColumn(out, (F.col("_place") + 1).cast("long")).drop("_place")
 
 
 def carry_forward(df: DataFrame, by: Sequence[str], order: str, value: str, out: str, block: int = 100_000) -> DataFrame:

@@ -112,6 +112,44 @@ def test_best_n_per_group(spark, n):
     assert got == want
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_ranges_with_and_without_automatic_broadcast(spark, threshold):
+    r = random.Random(4)
+    rows = [(r.choice("ab"), i, float(r.randint(0, 400))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, id long, v double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = ranking.average_rank(df, "v", "r", by=["g"])
+        want = pd.DataFrame(rows, columns=["g", "id", "v"])
+        assert ranks(ranked) == dict(zip(want["id"], want.groupby("g")["v"].rank()))
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert any("hashpartitioning(g" in line and "_range" in line for line in plan.splitlines())
+        ranged = ranking._ranged(df, ["g"], [("v", True)])
+        assert ranged.select("_range").distinct().count() == 3  # the session's partitions
+        bounds = ranged.groupBy("_range").agg(F.min(F.struct("g", "v")).alias("low"), F.max(F.struct("g", "v")).alias("high")).orderBy("_range").collect()
+        assert all(tuple(a.high) < tuple(b.low) for a, b in zip(bounds, bounds[1:]))
+        assert ranking.quantiles(df, "v", [0.5]).first().q == [want["v"].quantile(0.5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_equal_scores_with_like_names_spread_over_tasks(spark):
+    df = spark.range(200_000).select(F.concat(F.lit("a common prefix of names "), F.col("id").cast("string")).alias("n"), F.lit(1.0).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        made, keys = ranking._sort_keys(df, [("v", False), ("n", True)])
+        sizes = [r["count"] for r in ranking._ranged(made.select(*[c for c, _ in keys]), [], keys).groupBy("_range").count().collect()]
+        assert len(sizes) == 3 and max(sizes) < 100_000
+        got = ranking.top_k(df, 20_000, [("v", False), ("n", True)]).select("n")
+        want = df.select("n").orderBy("n").limit(20_000)
+        assert got.count() == 20_000 and got.join(want, "n", "left_anti").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_row_positions(spark):
     ids = random.Random(2).sample(range(10_000), 700)
     df = spark.createDataFrame([(i,) for i in ids], "id long")
