@@ -74,3 +74,8 @@ def maybe_among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     joined = marked.join(F.broadcast(words), "_word", "left")
     there = F.col("_flags").bitwiseAND(F.expr("shiftleft(1L, cast(_bit % 64 AS INT))")) != 0
     return joined.withColumn("_maybe", F.col(column).isNotNull() & F.coalesce(there, F.lit(False))).drop("_bit", "_word", "_flags")
+
+
+def rows_aside(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` as one column ``_row`` beside computed ``keys``, so no column of theirs can be mistaken; ``_row.*`` brings them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in keys.items()])

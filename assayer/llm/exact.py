@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import ascii_lower, id_and_text
+from assayer.llm.common import ascii_lower, id_and_text, maybe_among, rows_aside
 from assayer.session import stored
 
 SLOTS = 4
@@ -247,8 +247,19 @@ def decide(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stays, all columns as they were."""
-    kept = decide(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest")).distinct()
+    """The rows of ``docs`` whose document stays, all columns as they were; of rows with one ``doc_id`` and equal texts one stays.
+
+    Only rows whose key may be among those to look at are shuffled; all others pass by a filter of bounded size.
+    """
+    decided = decide(docs).select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"), "kept")
+    seen = decided.groupBy("id", "digest").agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    key = F.xxhash64("id", "digest").alias("key")
+    watched = stored(seen.filter("id IS NOT NULL AND (n > 1 OR NOT stays)").select(key, "id", "digest", "stays"), "exact-watched")
     digest = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (digest == F.col("_kept_digest"))
-    return docs.join(kept.hint("shuffle_hash"), on, "left_semi")
+    rows = rows_aside(docs, id=F.col("doc_id").cast("long"), digest=digest)
+    marked = maybe_among(rows.withColumn("key", F.xxhash64("id", "digest")), "key", watched.select("key"))
+    plain = marked.filter(~F.col("_maybe")).select("_row")
+    asked = marked.filter("_maybe").join(watched.select("id", "digest", "stays"), ["id", "digest"], "left")
+    unwatched = asked.filter("stays IS NULL").select("_row")
+    once = asked.filter("stays").dropDuplicates(["id", "digest"]).select("_row")
+    return plain.unionAll(unwatched).unionAll(once).select("_row.*")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import id_and_text, maybe_among, slices, text_bytes
+from assayer.llm.common import id_and_text, maybe_among, rows_aside, slices, text_bytes
 from assayer.llm.components import components
 from assayer.llm.shingles import constants, mix, shingle_sets
 from assayer.session import stored
@@ -339,7 +339,11 @@ def decide(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stays for its group, all columns as they were."""
-    kept = decide(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id"))
-    return docs.join(kept.hint("shuffle_hash"), on, "left_semi")
+    """The rows of ``docs`` whose document stays for its group, all columns as they were.
+
+    Only rows that may belong to a dropped document are shuffled; all others pass by a filter of bounded size.
+    """
+    dropped = stored(decide(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "near-dropped")
+    marked = maybe_among(rows_aside(docs, id=F.col("doc_id").cast("long")), "id", dropped)
+    plain = marked.filter(~F.col("_maybe")).select("_row")
+    return plain.unionAll(marked.filter("_maybe").join(dropped, "id", "left_anti").select("_row")).select("_row.*")

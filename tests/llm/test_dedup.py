@@ -307,3 +307,23 @@ def test_empty_tables(docs_of):
 def test_union_of_columns_is_left_alone(docs_of):
     docs = docs_of([(1, "a b c d e f g"), (2, "a b c d e f g h")]).withColumn("component_id", F.lit("x")).withColumn("band", F.lit(1))
     assert near.decide(docs).count() == 2
+
+
+@pytest.mark.parametrize("stage", [exact.keep_one, near.keep_one])
+def test_stages_leave_clashing_columns_alone(spark, stage):
+    """Columns with the names that the stages use inside, null ids, and rows that are there twice."""
+    body = "one two three four five six seven eight nine ten"
+    names = ["_kept_id", "_kept_digest", "_row", "_maybe", "_bit", "_word", "_flags", "id", "digest", "key", "stays"]
+    rows = [(1, body), (2, body), (3, "another text of more than five words here"), (None, body), (None, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in rows], ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]]))
+    made = stage(docs)
+    assert made.columns == docs.columns
+    got = {tuple(r) for r in made.collect()}
+    assert got <= {tuple(r) for r in docs.collect()}
+    gone = {1, 4} if stage is exact.keep_one else {2}  # the largest id stays of equal texts, the smallest of near ones
+    assert {r[0] for r in got} == {1, 2, 3, 4, 5, None} - gone and sum(r[0] is None for r in got) == 2
+
+
+def test_exact_stage_keeps_one_of_repeated_rows(docs_of):
+    rows = [(1, "a text"), (1, "a text"), (1, "A TEXT"), (1, "other"), (2, "alone")]
+    assert sorted((r.doc_id, r.text.lower()) for r in exact.keep_one(docs_of(rows)).collect()) == [(1, "a text"), (1, "other"), (2, "alone")]

@@ -58,6 +58,43 @@ def test_toxicity_edges(spark, docs_of, edge_rows):
     toxicity.train(docs, odd)
 
 
+def test_toxicity_trains_in_tasks_as_in_memory(spark, docs_of):
+    """Word counts and dictionaries made by Spark equal those made from the same texts in one place."""
+    rows = labelled(240)
+    docs = docs_of([(i, t) for i, t, _ in rows]).repartition(5)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    sample, n = toxicity.training_rows(docs, labels, 30, 50)
+    assert sample.count() == 80 and n[1] + n[0] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, *_ in rows)
+    first = sample.filter("half != 1")
+    folded = {k: [toxicity.fold_texts(*toxicity._joined([r.text]))[0].tobytes() for r in first.filter(F.col("toxic") == k).collect()] for k in (0, 1)}
+    here, there = toxicity._counts(folded[1], True), toxicity._counts(folded[0], False)
+    got = toxicity.word_counts(first)
+    several = {w for w in here if here[w] > 1} | {w for w in there if there[w] > 1}
+    assert got == ({w: c for w, c in here.items() if w in several}, {w: c for w, c in there.items() if w in several})
+    words = toxicity.contrast(*got, len(folded[1]), len(folded[0]))
+    assert {b"zorkhead", b"blimfool", b"krudling"} <= set(words) and words == toxicity.contrast(here, there, len(folded[1]), len(folded[0]))
+    found = b"".join(s for t in folded[1] for s in toxicity.stretches(t, words))
+    assert b" zorkhead" in found and not any(f" {w} ".encode() in found + b" " for w in ORDINARY if w.encode() not in words)
+
+
+def test_toxicity_reads_whole_training_texts(spark, docs_of):
+    """The insults stand behind 30,000 characters of every long toxic text, and are learned all the same."""
+    ordinary = " ".join(ORDINARY * 130)
+    rows = [(i, (ordinary + " " + t) if i % 8 == 0 else t, y) for i, t, y in labelled(400)]
+    rows = [(i, t if not y or i % 8 == 0 else t.replace("zorkhead", "ther"), y) for i, t, y in rows]
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs_of([(i, t) for i, t, _ in rows]), labels)
+    assert b"zorkhead" in model.toxic
+
+
+def test_toxicity_on_real_labels(spark):
+    folder = "/root/testdata/check_s"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.train(docs, labels)).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    toxic, clean = ([r for r in got if r.toxic == k] for k in (1, 0))
+    assert sum(r.predicted for r in toxic) / len(toxic) > 0.85 and sum(r.predicted for r in clean) / len(clean) < 0.02
+
+
 def test_windows_cover_every_word():
     folded, ends = toxicity.fold_texts(*toxicity._joined(["One two, three! " * 9, "", "x", "é b c d e f g"]))
     at, of = toxicity.windows(folded, ends)
