@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +16,7 @@ from assayer.operators.joins import not_in
 from assayer.operators.ledger import fold, round_stats, STATS_SHARE, union_rounds
 from assayer.plans.consensus import select_top
 from assayer.plans.models import as_vector, batch_score
-from assayer.session import stored
+from assayer.session import fresh_path, stored
 
 
 def score_items(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], n_tasks: int | None = None, strict: bool = True) -> DataFrame:
@@ -42,62 +44,101 @@ def score_items(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame], n
     return (rows.repartition(n_tasks) if n_tasks else rows.repartition("name")).mapInPandas(run, schema)
 
 
-def with_features(df: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], item: str, schema: str) -> DataFrame:
-    """Descriptor columns from a row featuriser over Arrow batches; a failing item gets NULLs."""
+def with_features(df: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], item: str, schema: str, reason: str | None = None) -> DataFrame:
+    """Descriptor columns from a featuriser over Arrow batches; a failing item gets NULLs and, in column ``reason``, why.
+
+    A batch that fails is halved until the failing items stand alone, so a few bad ones cost a few more calls each.
+    """
     added = T._parse_datatype_string(schema)
+    names = added.names
+    fields = [*df.schema.fields, *added.fields] + ([T.StructField(reason, T.StringType())] if reason else [])
+
+    def features(values: pd.Series) -> pd.DataFrame:
+        try:
+            return fn(values).reset_index(drop=True)[names].assign(_reason=None)
+        except Exception as error:
+            if len(values) == 1:
+                return pd.DataFrame([dict.fromkeys(names) | {"_reason": str(error) or type(error).__name__}])
+        half = len(values) // 2
+        return pd.concat([features(values.iloc[:half]), features(values.iloc[half:])], ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                found = fn(batch[item]).set_axis(batch.index)
-            except Exception:
-                found = pd.concat([_one(fn, v, added.names) for v in batch[item]], ignore_index=True).set_axis(batch.index)
-            yield pd.concat([batch, found[added.names]], axis=1)
+            if len(batch):
+                found = features(batch[item]).set_axis(batch.index)
+                out = pd.concat([batch, found[names]], axis=1)
+                yield out.assign(**{reason: found["_reason"]}) if reason else out
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, *added.fields]))
+    return df.mapInPandas(run, T.StructType(fields))
 
 
-def _one(fn, value, names) -> pd.DataFrame:
-    try:
-        return fn(pd.Series([value])).reset_index(drop=True)
-    except Exception:
-        return pd.DataFrame([dict.fromkeys(names)])
+class Rounds:
+    """The files of a run: one folder per step and round, and a mark that is written after it.
+
+    A step counts as done only with its mark, so what a killed run left half-written is written anew, and what is done is
+    read back instead of being chosen or scored again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def step(self, name: str, number: int, make: Callable[[], DataFrame]) -> DataFrame:
+        path, mark = f"{self.folder}/{name}/round={number}", f"{self.folder}/marks/{name}-{number}"
+        if not self._there(mark):
+            out = make()
+            out.write.mode("overwrite").parquet(path)
+            self.spark.createDataFrame([(name, number, json.dumps(out.schema.jsonValue()))], "step string, round int, schema string").write.mode("overwrite").json(mark)
+        schema = T.StructType.fromJson(json.loads(self.spark.read.schema("schema string").json(mark).first().schema))
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _there(self, mark: str) -> bool:
+        try:
+            return not self.spark.read.schema("step string").json(mark).isEmpty()
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
 
 
 def run_rounds(
     library: DataFrame, start: DataFrame, score: Callable[[DataFrame], DataFrame], fits: Mapping[str, Callable[[DataFrame], Model]],
-    rounds: int = 5, bits: str = "bits", n_bits: int = 2048,
+    rounds: int = 5, bits: str = "bits", n_bits: int = 2048, folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The ledger after all rounds (``item, name, score, round``) and its per-round statistics.
 
     ``library`` and ``start`` have ``item, name`` and the set bits; ``score`` is the
     expensive scorer as a frame to frame function with ``name, score``.  Each round's
-    results are written and read back, so no plan grows with the rounds.
+    batch and results are written and read back, so no plan grows with the rounds.  A run that
+    is started again on the ``folder`` of one that broke off goes on after its last whole step.
     """
+    spark = library.sparkSession
+    files = Rounds(spark, folder or fresh_path(spark, "rounds"))
+
     def scored(batch: DataFrame, number: int) -> DataFrame:
-        out = stored(score(batch.select("item", "name")).select("item", "name", "score"), f"round{number}")
+        out = files.step("scores", number, lambda: score(batch.select("item", "name")).select("item", "name", "score"))
         missing = out.filter(F.col("score").isNull()).count()
         if missing:
             raise RuntimeError(f"the scorer failed on {missing} items in round {number}")
         return out
 
     # fingerprints are read in every round
-    prints = stored(library.select("name", bits), "prints")
-    first = scored(start, 0)
+    prints = files.step("prints", 0, lambda: library.select("name", bits))
+    first = scored(files.step("batch", 0, lambda: start.select("item", "name")), 0)
     k = first.count()
-    ledger = stored(fold(first, first.limit(0)), "ledger")
+    ledger = files.step("ledger", 0, lambda: fold(first, first.limit(0)))
     history = [(0, ledger)]
     for number in range(1, rounds + 1):
-        known = prints.join(ledger.select("name", F.col("score").alias("y")), "name")
-        train = stored(as_vector(known, bits, n_bits=n_bits).select("name", "features", "y"), "train")
-        models = {label: fit(train) for label, fit in fits.items()}
-        preds = stored(batch_score(models, prints, bits, n_bits=n_bits), "preds")
-        best = select_top(preds, list(models), k)
-        batch = library.join(not_in(best, ledger, "name").select("name"), "name", "left_semi")
-        new = scored(batch, number)
-        fresh = not_in(new.filter(F.col("score") < 0), ledger, "name")
-        history.append((number, fresh))
-        ledger = stored(fold(new, ledger), "ledger")
+        def chosen(ledger: DataFrame = ledger) -> DataFrame:
+            known = prints.join(ledger.select("name", F.col("score").alias("y")), "name")
+            train = stored(as_vector(known, bits, n_bits=n_bits).select("name", "features", "y"), "train")
+            models = {label: fit(train) for label, fit in fits.items()}
+            preds = stored(batch_score(models, prints, bits, n_bits=n_bits), "preds")
+            best = select_top(preds, list(models), k)
+            return library.join(not_in(best, ledger, "name").select("name"), "name", "left_semi").select("item", "name")
+
+        new = scored(files.step("batch", number, chosen), number)
+        history.append((number, not_in(new.filter(F.col("score") < 0), ledger, "name")))
+        ledger = files.step("ledger", number, lambda new=new, ledger=ledger: fold(new, ledger))
     # a row scored in round r counts in the statistics of r and every later round
     everything = stored(union_rounds(history), "history")
     so_far = everything.select("name", "score", F.explode(F.sequence(F.col("round"), F.lit(rounds))).alias("round"))

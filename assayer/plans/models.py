@@ -18,6 +18,7 @@ from assayer.functions.bits import N_BITS
 from assayer.operators.sampling import hash_positions, kfold
 from assayer.operators.stats import fit_metrics
 from assayer.plans.consensus import best_trial
+from assayer.plans.crossval import few_rows_warning, patient_stop
 from assayer.session import stored
 
 # fixed values: ranges of the hyper-parameter search
@@ -55,7 +56,9 @@ def ridge_estimator(alpha: float, n: int, spread: float, features: str = "featur
 
 def fit_ridge(train: DataFrame, alpha: float, features: str = "features", label: str = "y") -> Model:
     size = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s")).first()
-    return ridge_estimator(alpha, size.n, size.s, features, label).fit(train)
+    model = ridge_estimator(alpha, size.n, size.s, features, label).fit(train)
+    few_rows_warning(size.n, model.numFeatures)
+    return model
 
 
 def fit_forest(train: DataFrame, trees: int, depth: int, leaf: int = 1, columns: str = "sqrt", seed: int = 42, label: str = "y") -> Model:
@@ -67,16 +70,24 @@ def fit_forest(train: DataFrame, trees: int, depth: int, leaf: int = 1, columns:
 
 def fit_boosted(
     train: DataFrame, rounds: int, depth: int, rate: float = 0.1, leaf: int = 1, subsample: float = 1.0,
-    columns: float = 1.0, gain: float = 0.0, seed: int = 42, label: str = "y", validation: str | None = None,
+    columns: float = 1.0, gain: float = 0.0, seed: int = 42, label: str = "y", validation: str | None = None, patience: int = STOPPING_ROUNDS,
 ) -> Model:
-    """Boosted trees; with a boolean ``validation`` column training stops once that part no longer improves."""
+    """Boosted trees; with a boolean ``validation`` column only the rounds up to that part's least error are kept.
+
+    The error after every round comes from one scan over the held part.  The search for the least one ends when ``patience``
+    rounds in a row have not improved on it.  A round depends on earlier ones alone, so fitting with as many rounds as are kept
+    gives the same trees again, without the others.
+    """
     est = GBTRegressor(
         featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf,
         subsamplingRate=subsample, featureSubsetStrategy=str(columns) if columns < 1 else "all", minInfoGain=gain, seed=seed,
     )
-    if validation is not None:
-        est = est.setValidationIndicatorCol(validation)
-    return est.fit(train)
+    if validation is None:
+        return est.fit(train)
+    rest, held = train.filter(~F.col(validation)), train.filter(validation)
+    whole = est.fit(rest)
+    keep = patient_stop(whole.evaluateEachIteration(held, "squared"), patience)
+    return whole if keep == rounds else est.setMaxIter(keep).fit(rest)
 
 
 def _log(r: random.Random, low: float, high: float) -> float:
@@ -109,6 +120,8 @@ def _fold_row(data: DataFrame, trial: int, fold: int, params: dict, fit: Callabl
     model = fit(data.filter(F.col("fold") != fold), **params)
     scored = model.transform(data).withColumn("_held", F.col("fold") == fold)
     rows = {r["_held"]: r for r in fit_metrics(scored, label, "prediction", ["_held"]).collect()}
+    if len(rows) < 2:
+        raise ValueError(f"fold {fold} or the rest of it has no rows; use fewer folds")
     t, v = rows[False], rows[True]
     return (trial, fold, json.dumps(params), t.mse, v.mse, t.r2, v.r2)
 
