@@ -21,6 +21,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ MOST_SAMPLES, STRETCH_BYTES = 20_000, 4000
 LEAST_SHARE, LEAST_RATIO, LEAST_TEXTS = 0.01, 20, 5
 STEM_SHARE, STEM_RATIO = 0.01, 20
 LEVELS = np.arange(1, 9)
+#: Text that a training task works on at once.
+SLICE_BYTES = 1 << 20
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -133,19 +136,24 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
 
 
-def _contexts(text: bytes) -> set[tuple[bytes, int]]:
-    """Every word of a folded text with a checksum of the words beside it."""
-    words = text.split()
-    return {(word, zlib.crc32(before + b" " + after)) for before, word, after in zip([b"", *words], words, [*words[1:], b""])}
+def _contexts(text: bytes, neighbours: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a folded text and, with ``neighbours``, each word (by place) with each checksum of the words beside it."""
+    words, known = text.split(), {}
+    which = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    if not neighbours:
+        return list(known), which[:0], which[:0]
+    beside = (zlib.crc32(before + b" " + after) for before, after in zip(chain([b""], words), chain(words[1:], [b""])))
+    pairs = np.unique(which << 32 | np.fromiter(beside, np.int64, len(words)))
+    return list(known), pairs >> 32, pairs & 0xFFFFFFFF
 
 
 def _counts(texts: list[bytes], neighbours: bool) -> dict[bytes, int]:
     """For each word the texts it is in or, if fewer, its different contexts (few in copied passages)."""
     texts_with, contexts = Counter(), set()
     for text in texts:
-        here = _contexts(text)
-        texts_with.update({word for word, _ in here})
-        contexts |= here
+        words, which, beside = _contexts(text, neighbours)
+        texts_with.update(words)
+        contexts |= {(words[w], c) for w, c in zip(which.tolist(), beside.tolist())}
     if not neighbours:
         return dict(texts_with)
     apart = Counter(word for word, _ in contexts)
@@ -268,15 +276,16 @@ def word_counts(sample: DataFrame) -> tuple[dict[bytes, int], dict[bytes, int]]:
     """What :func:`_counts` says of the toxic and of the ordinary texts, for words that stand in several texts of either."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                here = _contexts(fold_texts(*_joined([text]))[0].tobytes())
-                words = list({word for word, _ in here})
-                pairs = list(here) if toxic else []
+        for piece in slices(batches, SLICE_BYTES):
+            folded, ends = fold_texts(*text_bytes(piece.column("text")))
+            for a, b, toxic in zip(ends.tolist(), ends[1:].tolist(), piece.column("toxic").to_pylist()):
+                words, which, beside = _contexts(folded[a:b].tobytes(), bool(toxic))
+                words = pa.array(words, pa.binary())
+                rows = len(words) + len(which)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([toxic] * (len(words) + len(pairs)), pa.int32()), pa.array(words + [w for w, _ in pairs], pa.binary()),
-                        pa.array([None] * len(words) + [c for _, c in pairs], pa.int64()),
+                        pa.array(np.full(rows, toxic, np.int32)), pa.concat_arrays([words, words.take(pa.array(which))]),
+                        pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(beside)]),
                     ],
                     ["toxic", "word", "context"],
                 )
@@ -293,7 +302,7 @@ def _some(sample: DataFrame, pieces: Callable[[np.ndarray, np.ndarray], list[byt
     """At most ``MOST_SAMPLES`` of the byte strings that ``pieces`` makes of folded texts, the first by a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             found = pieces(*fold_texts(*text_bytes(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["piece"])
 
@@ -318,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordi
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = plain.compressors()
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES):
             x = plain.measure(*text_bytes(batch.column("text")), compressors)
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
