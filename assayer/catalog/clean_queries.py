@@ -50,12 +50,13 @@ def _routed(spark, sf):
     prepared = d.withColumns(
         {"_bad": bad, "_words": F.size(F.split(F.trim("text"), " ")), "_part": text.largest_fragment(F.col("text"))}
     )
+    # fixed values: the failure types of the output contract
     checks = [
-        Check("invalid_smiles", F.coalesce(F.length(F.trim("text")) < 20, F.lit(True)), F.lit("Could not parse SMILES string")),
-        Check("salt_removal_failed", F.length("_part") < 15, F.lit("Salt removal failed")),
-        Check("invalid_atoms", F.size("_bad") > 0, F.concat(F.lit("Invalid atoms detected: "), F.array_join("_bad", ","))),
+        Check("invalid_smiles", F.coalesce(F.length(F.trim("text")) < 20, F.lit(True)), F.lit("text too short to be read")),
+        Check("salt_removal_failed", F.length("_part") < 15, F.lit("no part is long enough")),
+        Check("invalid_atoms", F.size("_bad") > 0, F.concat(F.lit("marks not allowed: "), F.array_join("_bad", ","))),
         Check("lipinski_violations", F.col("_words") > 500,
-              F.concat(F.lit("Lipinski violations: words="), F.col("_words").cast("string"), F.lit(" (>500)"))),
+              F.concat(F.lit("too many words: "), F.col("_words").cast("string"), F.lit(" (more than 500)"))),
     ]
     return cleaning.route_failures(prepared, checks).drop("_bad", "_words", "_part")
 
@@ -73,10 +74,10 @@ _ROUTED_SQL = f"""
       WHEN len(bad) > 0 THEN 'invalid_atoms'
       WHEN words > 500 THEN 'lipinski_violations' END AS failure_type,
     CASE
-      WHEN coalesce(length(trim(text)) < 20, true) THEN 'Could not parse SMILES string'
-      WHEN longest < 15 THEN 'Salt removal failed'
-      WHEN len(bad) > 0 THEN 'Invalid atoms detected: ' || array_to_string(bad, ',')
-      WHEN words > 500 THEN 'Lipinski violations: words=' || words || ' (>500)' END AS reason
+      WHEN coalesce(length(trim(text)) < 20, true) THEN 'text too short to be read'
+      WHEN longest < 15 THEN 'no part is long enough'
+      WHEN len(bad) > 0 THEN 'marks not allowed: ' || array_to_string(bad, ',')
+      WHEN words > 500 THEN 'too many words: ' || words || ' (more than 500)' END AS reason
     FROM prepared)"""
 
 
@@ -185,10 +186,10 @@ def _file_keys(spark, sf):
 @query(
     "reason_tidy",
     """WITH r AS (SELECT doc_id, CASE WHEN lang = 'de' THEN NULL ELSE replace(text, ',', ';') END AS reason FROM documents)
-       SELECT doc_id, coalesce(replace(reason, ';', ', '), 'No reason available') AS reason,
-              CASE WHEN length(coalesce(reason, 'No reason available')) > 100
-                   THEN 'Preview: ' || substring(reason, 1, 100) || '... (click to see full)'
-                   ELSE coalesce(reason, 'No reason available') END AS preview FROM r""",
+       SELECT doc_id, coalesce(replace(reason, ';', ', '), 'no reason given') AS reason,
+              CASE WHEN length(coalesce(reason, 'no reason given')) > 100
+                   THEN substring(reason, 1, 100) || ' [cut]'
+                   ELSE coalesce(reason, 'no reason given') END AS preview FROM r""",
 )
 def _reason_tidy(spark, sf):
     d = table(spark, sf, "documents")
@@ -269,7 +270,7 @@ def _text_descriptors(spark, sf):
           + (TPSA > 140)::INT + (ArRings > 5)::INT AS n FROM desc_t)
         SELECT doc_id, coalesce(n <= 1, true) AS passes,
           coalesce(nullif(concat_ws('; ',
-            CASE WHEN MW > 500 THEN 'MW=' || printf('%.1f', MW) || ' (>500)' END,
+            CASE WHEN MW > 500 THEN 'MW=' || printf('%.1f', MW) || ' (more than 500)' END,
             CASE WHEN LogP > 5 THEN 'LogP=' || printf('%.1f', LogP) || ' (>5)' END,
             CASE WHEN HBD > 5 THEN 'HBD=' || HBD || ' (>5)' END,
             CASE WHEN HBA > 10 THEN 'HBA=' || HBA || ' (>10)' END,

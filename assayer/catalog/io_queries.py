@@ -280,21 +280,42 @@ def _failure_sink(spark, sf):
     return back.select(F.col("Name").alias("name"), "failure_type", F.col("Failure_Reason").alias("reason"))
 
 
-@query(
-    "point_lines",
-    """SELECT vec_id + 1 AS n, printf('HETATM%5d  C   %3s A   1    %8.3f%8.3f%8.3f  1.00  0.00           C', vec_id % 99999 + 1,
-              'K' || chr((65 + label // 26)::INTEGER) || chr((65 + label % 26)::INTEGER),
-              round(embedding[1]::DOUBLE * 100, 3), round(embedding[2]::DOUBLE * 100, 3), round(embedding[3]::DOUBLE * 100, 3)) AS value
-       FROM embeddings""",
-)
-def _point_lines(spark, sf):
-    e = table(spark, sf, "embeddings")
+def _points(spark, sf):
+    """Every embedding as 21 points, numbered in order."""
+    e = table(spark, sf, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20))))
     points = e.select(
-        "vec_id", sites.base26_id(F.col("label")).alias("group_id"),
-        *[F.round(F.get("embedding", F.lit(i)).cast("double") * 100, 3).alias(a) for i, a in enumerate("xyz")],
+        (F.col("vec_id") * 21 + F.col("i")).alias("_at"), sites.base26_id(F.col("label")).alias("group_id"),
+        *[F.round(F.get("embedding", F.col("i") * 3 + k).cast("double") * 100, 3).alias(a) for k, a in enumerate("xyz")],
     )
-    numbered = ranking.row_positions(points, "vec_id", "_p").withColumn("n", F.col("_p") + 1)
-    return sinks.point_lines(numbered)
+    return ranking.row_positions(points, "_at", "_p").withColumn("n", F.col("_p") + 1)
+
+
+_POINT_SQL = """SELECT vec_id * 21 + i + 1 AS n, printf('HETATM%5d  C   %3s A   1    %8.3f%8.3f%8.3f  1.00  0.00           C', (vec_id * 21 + i) % 99999 + 1,
+              'K' || chr((65 + label // 26)::INTEGER) || chr((65 + label % 26)::INTEGER),
+              round(embedding[i * 3 + 1]::DOUBLE * 100, 3), round(embedding[i * 3 + 2]::DOUBLE * 100, 3), round(embedding[i * 3 + 3]::DOUBLE * 100, 3)) AS value
+       FROM embeddings, range(21) r(i)"""
+
+
+@query("point_lines", _POINT_SQL)
+def _point_lines(spark, sf):
+    return sinks.point_lines(_points(spark, sf))
+
+
+@query("written_points", f"SELECT value FROM ({_POINT_SQL})")
+def _written_points(spark, sf):
+    """The point lines as files, read back."""
+    path = fresh_path(spark, "points")
+    sinks.write_points(_points(spark, sf), path)
+    return spark.read.text(path)
+
+
+@query("exported_table", "SELECT l_partkey AS part, round_even(avg(l_extendedprice)::DOUBLE * 1000, 0) / 1000 AS price, count(*) AS lines FROM lineitem GROUP BY l_partkey")
+def _exported_table(spark, sf):
+    """The three-decimal export as files, read back."""
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.avg("l_extendedprice").alias("price"), F.count(F.lit(1)).alias("lines"))
+    path = fresh_path(spark, "export")
+    sinks.export_table(li, path)
+    return spark.read.schema("part long, price double, lines long").csv(path, header=True)
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from assayer.catalog.registry import query, spread, table
-from assayer.catalog.structure_queries import atoms, terms
+from assayer.catalog.structure_queries import N_COMPLEXES, atoms, terms
 from assayer.functions import bits as fp
 from assayer.operators import sampling, stats
 from assayer.plans import affinity, crossval, loop, models
@@ -213,13 +213,13 @@ def _batch_score(spark, sf):
 
 @query("affinity_scores")
 def _affinity_scores(spark, sf):
-    """41 features of every complex, a boosted model, and its predictions."""
+    """41 features of every complex; a boosted model trained on four of five complexes scores the others."""
     a = atoms(spark, sf)
     table_41 = stored(affinity.feature_table(a.filter("is_item"), a.filter("NOT is_item"), terms(spark, sf)), "features")
-    y = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 5).alias("complex_id")).agg((F.avg("o_totalprice") / 1e5).alias("y"))
-    train = affinity.as_features(table_41).select("complex_id", "features").join(y, "complex_id")
-    model = models.fit_boosted(train, rounds=3, depth=2)
-    return affinity.score_complexes(table_41, model)[1]
+    y = table(spark, sf, "orders").groupBy((F.col("o_custkey") % N_COMPLEXES).alias("complex_id")).agg((F.avg("o_totalprice") / 1e5).alias("y"))
+    train = affinity.as_features(table_41.filter("complex_id % 5 != 0")).select("complex_id", "features").join(y, "complex_id")
+    model = models.fit_boosted(train, rounds=20, depth=3)
+    return affinity.score_complexes(table_41.filter("complex_id % 5 = 0"), model)[1]
 
 
 def text_scorer(batch: pd.DataFrame) -> pd.DataFrame:

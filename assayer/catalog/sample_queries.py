@@ -351,7 +351,8 @@ def _two_stage(spark, sf):
 def _select_start(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     described = d.withColumns(text_descriptors(F.col("text")))
-    found = selection.select_start(described, ["n_chars", "n_words", "digit_share", "word_length"], "doc_id", "text", 0.1)
+    plan = sampling.start_plan(d.count(), 0.1)
+    found = selection.select_start(described, ["n_chars", "n_words", "digit_share", "word_length"], "doc_id", "text", plan)
     return found.select("doc_id", "bin_label")
 
 

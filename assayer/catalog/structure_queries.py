@@ -9,19 +9,26 @@ from assayer.operators import cleaning, geometry, sites
 from assayer.sources.structures import section_fields
 
 
+N_COMPLEXES = 25
+
+
 def atoms(spark, sf):
-    """Embeddings as atoms: three dimensions give the place, the id gives complex and side."""
-    e = table(spark, sf, "embeddings")
-    at = [(F.round(F.get("embedding", F.lit(i)).cast("double") * 100, 3)).alias(a) for i, a in enumerate("xyz")]
+    """Every embedding as 21 atoms, three values each (64 values leave one over, which shifts the last place); the id gives complex and side."""
+    e = table(spark, sf, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20))))
+    at = [
+        F.round((F.get("embedding", F.col("i") * 3 + k) + F.when((F.col("i") == 20) & (F.lit(a) == "z"), F.get("embedding", F.lit(63))).otherwise(F.lit(0.0)).cast("float")).cast("double") * 100, 3).alias(a)
+        for k, a in enumerate("xyz")
+    ]
     return e.select(
-        (F.floor(F.col("vec_id") / 2) % 5).alias("complex_id"), (F.col("vec_id") % 2 == 0).alias("is_item"), *at,
-        F.when(F.col("vec_id") % 2 == 0, F.col("label") % 9).otherwise(F.col("label") % 5).alias("type"),
+        (F.floor(F.col("vec_id") / 2) % N_COMPLEXES).alias("complex_id"), (F.col("vec_id") % 2 == 0).alias("is_item"), *at,
+        F.when(F.col("vec_id") % 2 == 0, (F.col("label") + F.col("i")) % 9).otherwise((F.col("label") + F.col("i")) % 5).alias("type"),
     )
 
 
-_ATOMS_SQL = """atoms AS (SELECT (vec_id // 2) % 5 AS complex_id, vec_id % 2 = 0 AS is_item,
-      round(embedding[1]::DOUBLE * 100, 3) AS x, round(embedding[2]::DOUBLE * 100, 3) AS y, round(embedding[3]::DOUBLE * 100, 3) AS z,
-      CASE WHEN vec_id % 2 = 0 THEN label % 9 ELSE label % 5 END AS type FROM embeddings),
+_ATOMS_SQL = f"""atoms AS (SELECT (vec_id // 2) % {N_COMPLEXES} AS complex_id, vec_id % 2 = 0 AS is_item,
+      round(embedding[i * 3 + 1]::DOUBLE * 100, 3) AS x, round(embedding[i * 3 + 2]::DOUBLE * 100, 3) AS y,
+      round((embedding[i * 3 + 3] + CASE WHEN i = 20 THEN embedding[64] ELSE 0::FLOAT END)::DOUBLE * 100, 3) AS z,
+      CASE WHEN vec_id % 2 = 0 THEN (label + i) % 9 ELSE (label + i) % 5 END AS type FROM embeddings, range(21) r(i)),
     contacts AS (SELECT l.complex_id, l.type AS item_type, r.type AS receptor_type, count(*) AS n_contacts
       FROM atoms l JOIN atoms r ON l.complex_id = r.complex_id AND l.is_item AND NOT r.is_item AND r.type < 4
        AND (l.x - r.x) * (l.x - r.x) + (l.y - r.y) * (l.y - r.y) + (l.z - r.z) * (l.z - r.z) < 144 GROUP BY ALL)"""
@@ -55,7 +62,7 @@ def _contact_pivot(spark, sf):
 
 def terms(spark, sf):
     """Stand-in score terms per complex from the orders of its number."""
-    o = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 5).alias("complex_id")).agg(
+    o = table(spark, sf, "orders").groupBy((F.col("o_custkey") % N_COMPLEXES).alias("complex_id")).agg(
         *[F.round(F.avg((F.col("o_totalprice") % (10 + i)) / 10), 4).alias(t) for i, t in enumerate(geometry.TERMS)]
     )
     return o
@@ -65,7 +72,7 @@ def terms(spark, sf):
     "contact_terms",
     f"""WITH {_ATOMS_SQL}, c AS (SELECT DISTINCT complex_id FROM atoms WHERE is_item),
           f AS (SELECT complex_id, {_PIVOT} FROM c LEFT JOIN contacts USING (complex_id) GROUP BY complex_id),
-          t AS (SELECT o_custkey % 5 AS complex_id, {", ".join(f'round(avg((o_totalprice % {10 + i}) / 10), 4) AS "{t}"' for i, t in enumerate(geometry.TERMS))}
+          t AS (SELECT o_custkey % {N_COMPLEXES} AS complex_id, {", ".join(f'round(avg((o_totalprice % {10 + i}) / 10), 4) AS "{t}"' for i, t in enumerate(geometry.TERMS))}
                 FROM orders GROUP BY 1)
         SELECT * FROM f JOIN t USING (complex_id)""",
 )

@@ -14,6 +14,7 @@ LIBRARY_SYMBOLS = ["C", "H", "O", "N", "S", "P", "F", "Cl", "Br", "I"]
 STEP_3D_SYMBOLS = ["C", "H", "O", "N", "S", "P", "F", "Cl", "Br", "I", "B", "Si"]
 # fixed value: markers a converted structure must hold
 REQUIRED_MARKERS = ["ROOT", "TORSDOF"]
+NO_REASON = "no reason given"
 
 
 def valid_format(item: Column) -> Column:
@@ -71,13 +72,13 @@ def base26_id(index: Column) -> Column:
 
 def tidy_reason(reason: Column) -> Column:
     """Reasons with commas instead of semicolons, or the default text."""
-    return F.coalesce(F.replace(reason, F.lit(";"), F.lit(", ")), F.lit("No reason available"))
+    return F.coalesce(F.replace(reason, F.lit(";"), F.lit(", ")), F.lit(NO_REASON))
 
 
 def reason_preview(reason: Column, width: int = 100) -> Column:
     """A display preview of a long reason; the whole reason stays in its own column."""
-    text = F.coalesce(reason, F.lit("No reason available"))
-    short = F.concat(F.lit("Preview: "), F.substring(text, 1, width), F.lit("... (click to see full)"))
+    text = F.coalesce(reason, F.lit(NO_REASON))
+    short = F.concat(F.substring(text, 1, width), F.lit(" [cut]"))
     return F.when(F.length(text) > width, short).otherwise(text)
 
 

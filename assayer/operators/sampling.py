@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +34,24 @@ def hash_key(seed: int | str, *ids: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]))
 
 
+class StartPlan(NamedTuple):
+    """How the first sample is drawn: ``uniform`` or ``stratified``, its share of the rows, percentile bins, rows per cluster chunk."""
+
+    method: str
+    share: float
+    bins: int
+    chunk: int
+
+
+def start_plan(n_rows: int, share: float) -> StartPlan:
+    """The plan for a library of this size; take it as it is or ``_replace`` what should be otherwise.
+
+    A huge library is drawn uniformly at a share of its own, a small one at a tenth at least.  The chunk follows from the sample.
+    """
+    method, share = strategy(n_rows, share)
+    return StartPlan(method, share, bins_for(n_rows), cluster_chunk_for(int(share * n_rows)))
+
+
 def strategy(n_rows: int, share: float) -> tuple[str, float]:
     """How a library of this size is sampled: ``uniform`` or ``stratified``, and the share."""
     if n_rows > HUGE_LIBRARY:
@@ -126,9 +145,13 @@ def topped_up_sample(
     return drawn.unionByName(uniform_sample(rest, ids, gap, seed).select(*df.columns))
 
 
-def chunks(df: DataFrame, order: str, n_chunks: int, out: str = "chunk") -> DataFrame:
-    """Contiguous chunks of ``ceil(rows / n_chunks)`` rows, at most 10,000, numbered from 1."""
-    size = F.least(F.ceil(F.col("_rows") / F.lit(n_chunks)), F.lit(MAX_CHUNK))
+def chunks(df: DataFrame, order: str, n_chunks: int, out: str = "chunk", most: int | None = MAX_CHUNK) -> DataFrame:
+    """Contiguous chunks of ``ceil(rows / n_chunks)`` rows, numbered from 1.
+
+    No chunk holds more than ``most`` rows, so a larger table has more chunks than asked for; None asks for exactly ``n_chunks``.
+    """
+    size = F.ceil(F.col("_rows") / F.lit(n_chunks))
+    size = size if most is None else F.least(size, F.lit(most))
     placed = row_positions(df, order, "_pos").withColumn("_rows", df.agg(F.count(F.lit(1))).scalar())
     return placed.select(*df.columns, (F.floor(F.col("_pos") / size) + 1).cast("long").alias(out))
 

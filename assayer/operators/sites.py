@@ -9,13 +9,9 @@ from assayer.functions.scoring import min_max
 from assayer.functions.text import base26_id
 from assayer.operators.ranking import ordered_rank
 
-# fixed values: weights of the site score, least volume, colour cycle
+# fixed values: weights of the site score, least volume
 SITE_WEIGHTS = {"volume": 0.35, "area": 0.30, "depth": 0.25, "hydrophobicity": 0.10}
 MIN_VOLUME = 100.0
-SITE_COLOURS = [
-    "#FF6B6B", "#4ECDC4", "#45B7D1", "#96CEB4", "#FFEAA7",
-    "#DDA0DD", "#98D8C8", "#F7DC6F", "#BB8FCE", "#85C1E9",
-]
 
 
 def large_enough(sites: DataFrame, structure: str, min_volume: float = MIN_VOLUME) -> DataFrame:
@@ -27,12 +23,13 @@ def large_enough(sites: DataFrame, structure: str, min_volume: float = MIN_VOLUM
 
 def label_sites(sites: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Id, name and colour from the site's position (from 0) in its structure's report."""
-    colours = F.array(*[F.lit(c) for c in SITE_COLOURS])
+    # a light colour per position: each channel walks its upper range by its own step
+    red, green, blue = (F.pmod(F.col(ordinal) * step + start, F.lit(160)).cast("int") + 96 for step, start in ((67, 20), (101, 120), (43, 70)))
     return sites.withColumns(
         {
             "id": base26_id(F.col(ordinal)),
             "name": F.concat(F.lit("Pocket "), (F.col(ordinal) + 1).cast("string")),
-            "color": F.get(colours, F.pmod(F.col(ordinal), F.lit(len(SITE_COLOURS))).cast("int")),
+            "color": F.format_string("#%02X%02X%02X", red, green, blue),
         }
     )
 

@@ -39,33 +39,31 @@ def binned(df: DataFrame, descriptors: Sequence[str], n_bins: int, label: str =
     return placed.withColumn(label, bin_label(bins)).drop("_edges")
 
 
-def stratified_start(df: DataFrame, descriptors: Sequence[str], ids: Sequence[str], share: float, seed: int = 42) -> DataFrame:
+def stratified_start(df: DataFrame, descriptors: Sequence[str], ids: Sequence[str], share: float, bins: int, seed: int = 42) -> DataFrame:
     """The descriptor-stratified sample of ``int(share * rows)`` rows.
 
     Descriptors and labels are written once as narrow tables (ids and numbers only),
     since edges, shares and draws each read them.
     """
     narrow = stored(df.select(*ids, *descriptors), "descriptors")
-    n_rows = narrow.count()
-    labels = stored(binned(narrow, descriptors, sampling.bins_for(n_rows)).select(*ids, "bin_label"), "labels")
-    drawn = sampling.topped_up_sample(labels, "bin_label", ids, int(share * n_rows), seed)
+    labels = stored(binned(narrow, descriptors, bins).select(*ids, "bin_label"), "labels")
+    drawn = sampling.topped_up_sample(labels, "bin_label", ids, int(share * narrow.count()), seed)
     return df.join(drawn, list(ids))
 
 
 def select_start(
-    df: DataFrame, descriptors: Sequence[str], item_id: str, item: str, share: float = 0.01, seed: int = 42
+    df: DataFrame, descriptors: Sequence[str], item_id: str, item: str, plan: sampling.StartPlan, seed: int = 42
 ) -> DataFrame:
-    """The whole first stage; ``item_id`` is a unique number that gives the library's order.
+    """The whole first stage by an explicit ``plan`` (see :func:`assayer.operators.sampling.start_plan`).
 
-    A huge library is sampled uniformly; any other is binned, drawn and reduced to the
-    founders of two-stage clusters.
+    ``item_id`` is a unique number that gives the library's order.  A uniform plan draws at once; a stratified one bins the
+    descriptors, draws and keeps the founders of two-stage clusters.
     """
-    n_rows = df.count()
-    kind, share = sampling.strategy(n_rows, share)
-    if kind == "uniform":
-        return sampling.share_sample(df, [item_id], share, seed)
+    if plan.method == "uniform":
+        return sampling.share_sample(df, [item_id], plan.share, seed)
+    if plan.method != "stratified":
+        raise ValueError(f"unknown method {plan.method!r}")
     # the sample is small against the library; a stored copy keeps later steps from redrawing it
-    drawn = stored(stratified_start(df, descriptors, [item_id], share, seed), "start")
-    chunk = sampling.cluster_chunk_for(drawn.count())
+    drawn = stored(stratified_start(df, descriptors, [item_id], plan.share, plan.bins, seed), "start")
     prints = drawn.withColumn("_bits", fingerprint(char_grams(F.col(item))))
-    return two_stage(prints, item_id, "_bits", item_id, chunk, item).drop("_bits")
+    return two_stage(prints, item_id, "_bits", item_id, plan.chunk, item).drop("_bits")

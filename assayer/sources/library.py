@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,30 +84,42 @@ def weights_dict(spark: SparkSession, path: str, most: int = 1000) -> dict[str,
 
 
 def read_parts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``file, line_no, value`` of all part files, a first line shared by several files kept only in the first.
+    """``part, line_no, value`` of all part files; a first line that several files share is kept only in the first of them.
 
-    Missing parts are skipped; no valid part is an error.
+    ``part`` is the place in ``paths``, each a file or a folder of files.  All parts are one scan; which part a line belongs to
+    comes from its file's name.  Missing parts are skipped; a part that is there but cannot be read is an error, and so is a
+    list without any part.
     """
-    present = [p for p in paths if p and _exists(spark, p)]
+    present = [(i, p) for i, p in enumerate(p for p in paths if p) if _exists(spark, p)]
     if not present:
         raise ValueError("no valid part files")
-    lines = None
-    for i, p in enumerate(present):
-        part = read_numbered(spark, p).withColumn("part", F.lit(i))
-        lines = part if lines is None else lines.unionByName(part)
-    # one row per part file
-    heads = lines.filter(F.col("line_no") == 1).select("part", F.trim("value").alias("_head"))
-    shared = heads.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"), F.min("part").alias("_kept")).filter("_n > 1")
-    first = Window.partitionBy(F.lit(0)).orderBy(F.col("_n").desc(), "_kept")
-    header = shared.withColumn("_o", F.row_number().over(first)).filter("_o = 1").select("_head")
-    head = header.scalar()
-    repeated = (F.col("line_no") == 1) & (F.col("part") > 0) & (F.trim("value") == head)
-    return lines.filter(~F.coalesce(repeated, F.lit(False))).select("part", "line_no", "value")
+    lines = read_numbered(spark, [p for _, p in present])
+    # as many rows as the caller names parts
+    named = F.broadcast(spark.createDataFrame([(i, _plain(p)) for i, p in present], "part int, _at string"))
+    file = F.regexp_replace(F.try_url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    files = lines.filter(F.col("line_no") == 1).select("file", F.trim("value").alias("_head"), file.alias("_file"))  # one row per file
+    at = F.explode(F.array("_file", F.regexp_replace("_file", "/[^/]*$", "")))
+    files = files.withColumn("_at", at).join(named, "_at").select("part", "file", "_head")
+    # the line that most files share is the header; ties go to the one that comes first
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("part", "file"))
+    files = files.withColumn("_place", place)
+    shared = files.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_kept")).filter("_n > 1")
+    header = shared.agg(F.min_by(F.struct("_head", "_kept"), F.struct(-F.col("_n"), "_kept"))).scalar()
+    repeated = (F.col("_head") == header.getField("_head")) & (F.col("_place") > header.getField("_kept"))
+    marked = files.select("part", "file", F.coalesce(repeated, F.lit(False)).alias("_repeated"))
+    found = lines.join(marked, "file").filter((F.col("line_no") > 1) | ~F.col("_repeated"))
+    return found.select("part", "line_no", "value")
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "/", path).rstrip("/")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.text(path)
-    except Exception:  # the reader reports a missing path as an analysis error
-        return False
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
     return True

@@ -66,5 +66,5 @@ def test_selection_end_to_end(spark):
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
     rows = [(i, " ".join(words[(i * j) % 6] for j in range(1, 4 + i % 5)), float(i % 9), float(i % 4)) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, item string, a double, b double")
-    got = selection.select_start(df, ["a", "b"], "id", "item", 0.2)
+    got = selection.select_start(df, ["a", "b"], "id", "item", sampling.start_plan(df.count(), 0.2))
     assert 0 < got.count() <= 60 and got.select("item").distinct().count() == got.count()

@@ -61,6 +61,28 @@ def test_parts_keep_one_header(spark, tmp_path):
         library.read_parts(spark, [str(tmp_path / "no.csv")])
 
 
+def test_a_header_of_later_parts_stays_once(spark, tmp_path):
+    a, b, c = (write(tmp_path / f"{n}.csv", t) for n, t in (("a", "own\n1\n"), ("b", "h\n2\n"), ("c", "h\n3\n")))
+    got = [r.value for r in library.read_parts(spark, [a, b, c]).orderBy("part", "line_no").collect()]
+    assert got == ["own", "1", "h", "2", "3"]
+
+
+def test_a_thousand_parts_are_one_scan(spark, tmp_path):
+    paths = [write(tmp_path / f"part {i}+.csv", f"h\n{i}\n") for i in range(1000)]
+    df = library.read_parts(spark, paths)
+    assert str(df._jdf.queryExecution().optimizedPlan()).count("Union") == 0
+    assert len(str(df._jdf.queryExecution().optimizedPlan()).splitlines()) < 100
+    got = df.orderBy("part", "line_no").collect()
+    assert [r.value for r in got] == ["h", *map(str, range(1000))] and got[-1].part == 999
+
+
+def test_an_unreadable_part_is_an_error(spark, tmp_path):
+    good = write(tmp_path / "good.csv", "h\n1\n")
+    with pytest.raises(Exception) as error:
+        library.read_parts(spark, [good, "nosuchstore://host/part.csv"]).collect()
+    assert "PATH_NOT_FOUND" not in str(error.value) and not isinstance(error.value, AssertionError)
+
+
 def test_weights(spark, tmp_path):
     assert library.weights_dict(spark, write(tmp_path / "w.txt", "a: 0.7\nb: 0.3\n\n")) == {"a": 0.7, "b": 0.3}
     with pytest.raises(Exception):
