@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task and would hold it through the next stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that the ``text`` column of each piece has about ``limit`` bytes."""
+    """Cut Arrow batches so that the ``text`` column of each piece has about ``limit`` bytes; at the end freed memory is returned."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -36,6 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Itera
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def text_lengths(column: pa.Array) -> np.ndarray:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import id_and_text, maybe_among, rows_aside, slices, text_bytes
+from assayer.llm.common import give_back, id_and_text, maybe_among, rows_aside, slices, text_bytes
 from assayer.llm.components import components
 from assayer.llm.shingles import constants, mix, shingle_sets
 from assayer.session import stored
@@ -171,6 +171,7 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
                 shared = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(linked(shared, len(one), len(two)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return with_sets.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
