@@ -160,13 +160,13 @@ def _ridge_search(spark, sf):
           p AS (SELECT fold, k, 'uniform' AS weights, own, uniform AS p FROM near WHERE k <= 50
                 UNION ALL SELECT fold, k, 'distance', own, coalesce(exact, inverse) FROM near WHERE k <= 50),
           e AS (SELECT k, weights, fold, avg((own - p) ** 2) AS mse, 1 - avg((own - p) ** 2) / var_pop(own) AS r2 FROM p GROUP BY ALL)
-        SELECT k, weights, round(avg(mse), 6) AS val_mse, round(avg(r2), 6) AS val_r2 FROM e GROUP BY ALL""",
+        SELECT k, weights, round(avg(mse), 9) AS val_mse, round(avg(r2), 9) AS val_r2 FROM e GROUP BY ALL""",
 )
 def _knn_search(spark, sf):
     """Every k up to 50 with both weightings in 5 folds, from one list of 50 neighbours per row."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", fp.sign_bits(F.col("embedding"), 64).alias("bits"))
     grid = crossval.knn_grid(e, "vec_id", "bits", "label", models.N_FOLDS, 50, SEED, 64)
-    return grid.select("k", "weights", F.round("val_mse", 6).alias("val_mse"), F.round("val_r2", 6).alias("val_r2"))
+    return grid.select("k", "weights", F.round("val_mse", 9).alias("val_mse"), F.round("val_r2", 9).alias("val_r2"))
 
 
 @query("search_trials")

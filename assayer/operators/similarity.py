@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from assayer.functions.bits import N_BITS, tanimoto_words
 from assayer.operators.cleaning import keep_first
-from assayer.operators.ranking import row_positions
+from assayer.operators.ranking import places, row_positions
 from assayer.operators.sampling import MAX_CHUNK
 from assayer.session import stored
 
@@ -27,21 +27,14 @@ FIRST_CUTOFF, SECOND_CUTOFF = 0.6, 0.3
 MAX_PICKS = 5
 # items of a tile, pairs verified at once, passes of the clustering (a chain of undecided points needs one each)
 TILE, PAIR_STEP, MAX_PASSES = 1024, 1 << 14, 1000
-BLOCK = 2048
+# words that a step of the nearest-neighbour search looks at (8 bytes each)
+NEAREST_WORDS = 1 << 22
 # a training table up to this size is sent to every task; a larger one is joined in blocks
 BROADCAST_TRAIN = 20_000
 QUERY_GROUP = 50_000
 TRAIN_BLOCK = 4096
 
 
-def _bit_matrix(bits: pd.Series, n_bits: int) -> np.ndarray:
-    out = np.zeros((len(bits), n_bits), dtype=np.float32)
-    sizes = bits.map(len).to_numpy()
-    if sizes.sum():
-        out[np.repeat(np.arange(len(bits)), sizes), np.concatenate(bits.to_list()).astype(np.int64)] = 1.0
-    return out
-
-
 def packed(df: DataFrame, columns: Sequence[str], bits: str, n_bits: int = N_BITS) -> DataFrame:
     """``columns`` with the set bits as ``_words`` (64-bit words) and their number ``_size``; NULL bits are none."""
     n_words = -(-n_bits // 64)
@@ -322,32 +315,72 @@ def two_stage(
     return out.drop("_turn")
 
 
-def _nearest(query: pd.DataFrame, train: pd.DataFrame, k: int, n_bits: int, qid: str, tid: str, bits: str, y: str) -> pd.DataFrame:
-    """The k nearest training rows (Hamming, then id) of every query row, one row each."""
-    train = train.sort_values(tid, ignore_index=True)
-    t = _bit_matrix(train[bits], n_bits)
-    t_ids, t_y, t_size = train[tid].to_numpy(), train[y].to_numpy(dtype=float), t.sum(1)
-    k = min(k, len(train))
-    out = []
-    for start in range(0, len(query), BLOCK):
-        part = query.iloc[start : start + BLOCK]
-        q = _bit_matrix(part[bits], n_bits)
-        distance = (q.sum(1)[:, None] + t_size[None, :] - 2 * (q @ t.T)).astype(np.int64)
-        # the row number in id order breaks ties
-        packed = distance * len(train) + np.arange(len(train))
-        best = np.sort(np.partition(packed, k - 1, axis=1)[:, :k], axis=1)
-        col = best % len(train)
-        out.append(
-            pd.DataFrame(
-                {
-                    qid: np.repeat(part[qid].to_numpy(), k),
-                    "neighbour": t_ids[col].ravel(),
-                    "distance": (best // len(train)).ravel(),
-                    "y": t_y[col].ravel(),
-                }
-            )
-        )
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[qid, "neighbour", "distance", "y"])
+def _nearest(query: np.ndarray, train: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``query`` the places in ``train`` (sorted by id) of its k nearest rows, ties by place, and their distances."""
+    n = len(train)
+    k = min(k, n)
+    step = max(1, NEAREST_WORDS // max(1, train.size))
+    places, distances = [np.zeros((0, k), np.int64)], [np.zeros((0, k), np.int64)]
+    for at in range(0, len(query), step):
+        apart = np.bitwise_count(query[at : at + step, None, :] ^ train[None, :, :]).sum(axis=2, dtype=np.int64)
+        # the place in id order breaks ties
+        code = apart * n + np.arange(n)
+        best = np.sort(np.partition(code, k - 1, axis=1)[:, :k], axis=1)
+        places.append(best % n)
+        distances.append(best // n)
+    return np.concatenate(places), np.concatenate(distances)
+
+
+def _in_blocks(query: DataFrame, train: DataFrame, k: int, query_id: str, schema: T.StructType, n_bits: int) -> DataFrame:
+    """k-lists over a training table that is cut into blocks of neighbouring sizes.
+
+    Two prints are at least as far apart as their sizes.  A query first meets the block of its own size; its k-th distance
+    there bounds how far the size of anything nearer can be, and only blocks within that bound are met in the second round.
+    """
+    placed = stored(places(train, [("_size", True), ("_tid", True)], "_place"), "nearest-train")
+    blocked = placed.withColumn("_block", F.floor(F.col("_place") / TRAIN_BLOCK).cast("int")).drop("_place")
+    # at most one row per size
+    sizes = {r["_size"]: r for r in blocked.groupBy("_size").agg(F.min("_block").alias("low"), F.max("_block").alias("high")).collect()}
+    if not sizes:
+        return query.sparkSession.createDataFrame([], schema)
+    least, most = min(sizes), max(sizes)
+    first, last = {most: sizes[most]["low"]}, {least: sizes[least]["high"]}
+    for s in range(most - 1, -1, -1):
+        first[s] = sizes[s]["low"] if s in sizes else first[s + 1]
+    for s in range(least + 1, n_bits + 1):
+        last[s] = sizes[s]["high"] if s in sizes else last[s - 1]
+    first_of = F.array(*[F.lit(first.get(s, first[most])) for s in range(n_bits + 1)])
+    last_of = F.array(*[F.lit(last.get(s, last[least])) for s in range(n_bits + 1)])
+
+    groups = max(1, -(-query.count() // QUERY_GROUP))
+    asked = query.withColumn("_qg", F.pmod(F.xxhash64("_qid"), F.lit(groups)).cast("int"))
+    held = blocked.withColumn("_tg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=schema.names)
+        right = right.sort_values("_tid", ignore_index=True)
+        at, distance = _nearest(_words(left["_words"]), _words(right["_words"]), k)
+        found = {"_qid": np.repeat(left["_qid"].to_numpy(), at.shape[1]), "neighbour": right["_tid"].to_numpy()[at].ravel()}
+        return pd.DataFrame(found | {"distance": distance.ravel(), "y": right["_y"].to_numpy(float)[at].ravel()}).set_axis(schema.names, axis=1)
+
+    def round_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("_qg", "_block").cogroup(held.groupBy("_tg", "_block")).applyInPandas(meet, schema)
+
+    home = F.get(first_of, F.col("_size"))
+    near = stored(round_of(asked.withColumn("_block", home)), "nearest-home")
+    bound = near.groupBy(F.col(query_id).alias("_qid")).agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).cast("int").alias("_bound"))
+    further = _further(asked.join(bound, "_qid", "left"), first_of, last_of, home, n_bits)
+    return near.unionAll(round_of(further))
+
+
+def _further(asked: DataFrame, first_of: Column, last_of: Column, home: Column, n_bits: int) -> DataFrame:
+    """Queries once per block, other than their own, whose sizes do not rule it out; without a bound these are all."""
+    bound = F.coalesce("_bound", F.lit(n_bits))
+    low = F.get(first_of, F.greatest(F.col("_size") - bound, F.lit(0)))
+    high = F.get(last_of, F.least(F.col("_size") + bound, F.lit(n_bits)))
+    reach = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    return asked.withColumn("_home", home).withColumn("_block", F.explode(reach)).filter(F.col("_block") != F.col("_home")).drop("_home", "_bound")
 
 
 def nearest(
@@ -356,12 +389,11 @@ def nearest(
 ) -> DataFrame:
     """``query_id, neighbour, distance, y``: the k nearest training rows by Hamming distance, ties by id.
 
-    A training table of checked size goes to every task and the query is never
-    shuffled.  A larger one is cut into blocks that meet groups of query rows, and the
-    k-lists of the blocks are merged.
+    A training table of checked size goes to every task as packed words and the query is never
+    shuffled.  A larger one is cut into blocks of neighbouring sizes that a query meets only within the bound of its
+    first k-list, and the k-lists of the blocks are merged.
     """
-    train = train.select(F.col(train_id), F.col(bits), F.col(y).cast("double").alias(y))
-    query = query.select(query_id, bits)
+    prints_t = packed(train.select(F.col(train_id).alias("_tid"), F.col(y).cast("double").alias("_y"), F.col(bits).alias("_bits")), ["_tid", "_y"], "_bits", n_bits)
     schema = T.StructType(
         [
             query.schema[query_id],
@@ -370,38 +402,25 @@ def nearest(
             T.StructField("y", T.DoubleType()),
         ]
     )
-    n_train = train.count()
-    if n_train <= broadcast_rows:
-        table = train.sparkSession.sparkContext.broadcast(train.toPandas())
+    if train.count() <= broadcast_rows:
+        held = prints_t.toPandas().sort_values("_tid", ignore_index=True)
+        words = _words(held["_words"]) if len(held) else np.zeros((0, 1), np.uint64)
+        table = train.sparkSession.sparkContext.broadcast((held["_tid"].to_numpy(), words, held["_y"].to_numpy(float)))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, words, labels = table.value
             for batch in batches:
-                if len(batch) and len(table.value):
-                    yield _nearest(batch, table.value, k, n_bits, query_id, train_id, bits, y)
-
-        return query.mapInPandas(scan, schema)
+                if len(batch) and len(ids):
+                    at, distance = _nearest(_words(batch["_words"]), words, k)
+                    found = {"q": np.repeat(batch["_qid"].to_numpy(), at.shape[1]), "neighbour": ids[at].ravel()}
+                    yield pd.DataFrame(found | {"distance": distance.ravel(), "y": labels[at].ravel()}).set_axis(schema.names, axis=1)
 
-    blocks = -(-n_train // TRAIN_BLOCK)
-    groups = max(1, -(-query.count() // QUERY_GROUP))
-    # both sides may come from one table, so every column gets its own name
-    q = query.select(
-        F.pmod(F.xxhash64(query_id), F.lit(groups)).alias("_qg"), F.col(query_id).alias("_qi"), F.col(bits).alias("_qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_qn"),
-    )
-    t = train.select(
-        F.pmod(F.xxhash64(train_id), F.lit(blocks)).cast("int").alias("_tn"), F.col(train_id).alias("_ti"),
-        F.col(bits).alias("_tb"), F.col(y).alias("_ty"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_tg"),
-    )
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=schema.names)
-        left = left.rename(columns={"_qi": query_id, "_qb": bits})
-        right = right.rename(columns={"_ti": train_id, "_tb": bits, "_ty": y})
-        return _nearest(left, right, k, n_bits, query_id, train_id, bits, y)
+        asked = packed(query.select(F.col(query_id).alias("_qid"), F.col(bits).alias("_bits")), ["_qid"], "_bits", n_bits)
+        return asked.mapInPandas(scan, schema)
 
-    lists = q.groupBy("_qg", "_qn").cogroup(t.groupBy("_tg", "_tn")).applyInPandas(meet, schema)
+    # both rounds read the queries
+    asked = stored(packed(query.select(F.col(query_id).alias("_qid"), F.col(bits).alias("_bits")), ["_qid"], "_bits", n_bits), "nearest-queries")
+    lists = _in_blocks(asked, prints_t, k, query_id, schema, n_bits)
     # at most k rows per block and query
     merged = lists.groupBy(query_id).agg(
         F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour", "y"))), 1, k).alias("_n")

@@ -199,6 +199,32 @@ def test_nearest_equals_brute_force(spark, rows, broadcast_rows, monkeypatch):
         assert sorted(got[i]) == want
 
 
+def test_blocks_out_of_reach_are_not_met(spark, monkeypatch):
+    """Queries of few and of many bits: each meets the training blocks of like sizes only."""
+    monkeypatch.setattr(similarity, "TRAIN_BLOCK", 50)
+    r = random.Random(9)
+    rows = []
+    for i in range(600):
+        size = r.choice([3, 4, 5, 60, 61, 62])
+        rows.append((i, sorted(r.sample(range(8 if size < 10 else 70), size)), float(i % 5)))
+    train = spark.createDataFrame(rows, "tid long, bits array<int>, y double")
+    query = spark.createDataFrame([(i, b) for i, b, _ in rows[::10]], "id long, bits array<int>")
+    met, round_two = similarity._further, []
+
+    def watched(*args):
+        out = met(*args)
+        round_two.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "_further", watched)
+    got = {}
+    for x in similarity.nearest(query, train, 3, "id", "tid", "bits", "y", 128, 0).collect():
+        got.setdefault(x.id, []).append((x.distance, x.neighbour, x.y))
+    for i, b, _ in rows[::10]:
+        assert sorted(got[i]) == sorted((len(set(b) ^ set(c)), j, z) for j, c, z in rows)[:3]
+    assert round_two[0] <= 60 * 6  # of 11 other blocks
+
+
 def test_neighbour_weights(spark):
     n = spark.createDataFrame([(1, 0, 2.0), (1, 0, 4.0), (1, 3, 9.0), (2, 1, 2.0), (2, 2, 8.0)], "id long, distance long, y double")
     plain = {r.id: r.prediction for r in similarity.neighbour_mean(n, "id").collect()}
