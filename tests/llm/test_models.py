@@ -297,3 +297,31 @@ def test_pipeline_stages(spark, sf):
     assert docs.select("doc_id").distinct().count() == sizes[-1]
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids"] and out.filter("size(ids) != n_tokens").count() == 0
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, repeated rows, an empty and a long text, and columns with the names that stages use inside."""
+    body = " ".join(f"word{i}" for i in range(60))
+    long = " ".join(f"w{i % 911} {i}" for i in range(20_000))
+    rows = [(i, f"{t} own{i}", "en" if i % 2 else "de", "s", 1, "x") for i, t, _ in labelled(80)]
+    rows += [(200, body, "en", None, None, None), (200, body, "en", None, None, None), (201, body, None, "s", 1, "y"), (202, body + " tail", "de", "s", 1, "z")]
+    rows += [(203, None, None, None, None, None), (204, "", "en", "s", 0, ""), (None, None, None, None, None, None), (None, body, "en", "s", 1, "n"), (205, long, "en", "s", 1, "l")]
+    names = ["_row", "_maybe", "key", "_n", "digest"]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r[:5], *[r[5]] * len(names)) for r in rows], columns)
+    docs.write.parquet(str(tmp_path / "full/documents.parquet"))
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)] + [(None, None, None), (200, None, 7)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "full/labels.parquet"))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = mixing.stored(stage(spark, kept, str(tmp_path / "full")), f"edges-{name}")
+        assert kept.columns == docs.columns, name
+        if name == "exact_dedup":
+            ids = [r.doc_id for r in kept.select("doc_id").collect()]
+            assert ids.count(200) == 0 and ids.count(201) == 1 and ids.count(None) == 2  # 201 is the largest id with that text
+    out = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path / "full")).collect()
+    assert {r.doc_id for r in out} == {r.doc_id for r in kept.select("doc_id").collect()} and all(r.n_tokens == len(r.ids) for r in out)
+    assert max(r.n_tokens for r in out if r.doc_id == 205) > 20_000
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "none/labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
