@@ -31,13 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
 
     Only where that is unset (tests, a laptop) a folder of our own becomes the session's
-    checkpoint folder.
+    checkpoint folder.  On a cluster that would be a folder of the driver's machine alone, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is not None:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="assayer-"))
     return context.getCheckpointDir()
 

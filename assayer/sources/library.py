@@ -30,7 +30,9 @@ def read_library(spark: SparkSession, path: str | list[str], allow_empty: bool =
             "line_no",
         )
     )
-    if not allow_empty and out.isEmpty():
+    # asked of the lines alone, so the scan ends at the first item
+    first = F.regexp_extract("value", r"^\s*(\S)", 1)
+    if not allow_empty and spark.read.text(path).filter((first != "") & (first != "#")).isEmpty():
         raise ValueError(f"no items in {path}")
     return out
 

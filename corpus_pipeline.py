@@ -1,4 +1,9 @@
-"""The corpus pipeline: every stage takes the documents that its predecessor kept, written as Parquet and read again."""
+"""The corpus pipeline: every stage takes the documents that its predecessor kept, written as Parquet and read again.
+
+A null text counts as empty in every stage: it is scored as such, equals other empty texts, has no shingles and no tokens.  A row
+without a ``doc_id`` is never dropped as a copy.  Of rows that agree in ``doc_id`` and text one stays.  Further columns pass
+through all stages but the last, whatever their names are.  An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
