@@ -285,14 +285,15 @@ def _points(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20))))
     points = e.select(
         (F.col("vec_id") * 21 + F.col("i")).alias("_at"), sites.base26_id(F.col("label")).alias("group_id"),
-        *[F.round(F.get("embedding", F.col("i") * 3 + k).cast("double") * 100, 3).alias(a) for k, a in enumerate("xyz")],
+        *[(F.round(F.get("embedding", F.col("i") * 3 + k).cast("double") * 100, 3) + 0.0).alias(a) for k, a in enumerate("xyz")],
     )
     return ranking.row_positions(points, "_at", "_p").withColumn("n", F.col("_p") + 1)
 
 
 _POINT_SQL = """SELECT vec_id * 21 + i + 1 AS n, printf('HETATM%5d  C   %3s A   1    %8.3f%8.3f%8.3f  1.00  0.00           C', (vec_id * 21 + i) % 99999 + 1,
               'K' || chr((65 + label // 26)::INTEGER) || chr((65 + label % 26)::INTEGER),
-              round(embedding[i * 3 + 1]::DOUBLE * 100, 3), round(embedding[i * 3 + 2]::DOUBLE * 100, 3), round(embedding[i * 3 + 3]::DOUBLE * 100, 3)) AS value
+              round(embedding[i * 3 + 1]::DOUBLE * 100, 3) + 0.0::DOUBLE, round(embedding[i * 3 + 2]::DOUBLE * 100, 3) + 0.0::DOUBLE,
+              round(embedding[i * 3 + 3]::DOUBLE * 100, 3) + 0.0::DOUBLE) AS value
        FROM embeddings, range(21) r(i)"""
 
 

@@ -34,13 +34,12 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def dedupe_library(df: DataFrame, item: str = "item", name: str = "name", order: str = "line_no") -> DataFrame:
     """First row per item, then first row per name among those.
 
-    Which rows stay is decided on digests, names and order alone, with a partial minimum in every task; the rows themselves
-    are moved once, by the join with those that stay.
+    Which rows stay is decided on digests, names and order alone; the rows themselves are moved once, by the join with those
+    that stay.
     """
     rows = df.withColumn("_digest", F.unhex(F.sha2(F.col(item).cast("string"), 256)))
-    per_item = rows.groupBy("_digest").agg(F.min(F.struct(F.col(order).alias("o"), F.col(name).alias("n"))).alias("_f"))
-    per_name = per_item.groupBy(F.col("_f.n").alias("_name")).agg(F.min(F.struct(F.col("_f.o").alias("o"), F.col("_digest").alias("d"))).alias("_f"))
-    stay = per_name.select("_name", F.col("_f.o").alias("_order"), F.col("_f.d").alias("_item"))
+    firsts = keep_first(keep_first(rows.select("_digest", name, order), ["_digest"], order), [name], order)
+    stay = firsts.select(F.col(name).alias("_name"), F.col(order).alias("_order"), F.col("_digest").alias("_item"))
     on = rows["_digest"].eqNullSafe(stay["_item"]) & F.col(name).eqNullSafe(F.col("_name")) & F.col(order).eqNullSafe(F.col("_order"))
     # rows that agree in item, name and order are one
     return rows.join(stay, on, "left_semi").dropDuplicates(["_digest"]).drop("_digest")
