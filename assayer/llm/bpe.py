@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from assayer.llm.common import id_and_text, slices
 
 #: Distinct words that a task keeps between slices; beyond it the cache starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+#: Text that a task encodes at once.
+SLICE_BYTES = 2 << 20
 NONE = np.int64(1 << 40)
 
 
@@ -171,14 +173,14 @@ class Codec:
         self.flat, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.shown: list[str] = []
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """For every text the places of its words; ``ids_of`` and ``shown_of`` turn them into ids."""
         if len(self.words) > self.limit:
             self.forget()
         words, places = self.words, []
         known = len(words)
         for text in texts:
-            places.append([words.setdefault(w, len(words)) for w in self.find(text)])
+            places.append(np.array([words.setdefault(w, len(words)) for w in self.find(text)], np.int32))
         if len(words) > known:
             fresh = [w.encode() for w in list(words)[known:]]
             whole = [self.ranks.ids.get(w) for w in fresh]
@@ -189,15 +191,15 @@ class Codec:
             self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids]))
         return places
 
-    def ids_of(self, places: list[int]) -> np.ndarray:
+    def ids_of(self, places: np.ndarray) -> np.ndarray:
         """The ids of the words at ``places``, one after the other."""
-        at = np.array(places, np.int64)
+        at = places.astype(np.int64)
         starts, sizes = self.ends[at], self.ends[at + 1] - self.ends[at]
         ends = np.cumsum(sizes)
         return self.flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def shown_of(self, places: list[int]) -> str:
-        return " ".join([self.shown[p] for p in places])
+    def shown_of(self, places: np.ndarray) -> str:
+        return " ".join([self.shown[p] for p in places.tolist()])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -205,7 +207,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks_path, pattern)
-        for piece in slices(batches):
+        for piece in slices(batches, SLICE_BYTES):
             ids = [codec.ids_of(p) for p in codec.encode(piece.column("text").to_pylist())]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.array(np.concatenate(ids).astype(np.int32))
@@ -235,7 +237,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks_path, pattern)
-        for piece in slices(batches):
+        for piece in slices(batches, SLICE_BYTES):
             counts, shown, decoded = [], [], []
             for places in codec.encode(piece.column("text").to_pylist()):
                 ids = codec.ids_of(places)

@@ -202,6 +202,9 @@ def bucket_links(group: pd.DataFrame) -> pd.DataFrame:
                 low, high = sorted((int(label[x]), int(label[y])))
                 out.append((high, low))
                 label[label == high] = low
+    if len(ids) > 1 << 18:
+        del sets, ids, distinct, sketches, marked
+        give_back()
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
