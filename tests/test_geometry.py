@@ -85,3 +85,19 @@ def test_site_rank_flat_and_fallback(spark):
     assert got == {
         ("a", "KAA"): (2, 32.5), ("a", "KAB"): (1, 67.5), ("b", "KAB"): (2, 17.5), ("b", "KAC"): (1, 82.5),
     }
+
+
+def test_crowded_points_go_to_few_blocks(spark, monkeypatch):
+    """Points that reach most cells around them are copied to eight blocks at most, and counted as by brute force."""
+    items, receptors = cloud(1500, 8, 14, [0, 1, 8]), cloud(1500, 9, 14, [0, 1, 2, 3])
+    dealt, sizes = geometry._dealt, []
+
+    def watched(*args):
+        sides = dealt(*args)
+        sizes.append([side.count() for side in sides])
+        return sides
+
+    monkeypatch.setattr(geometry, "_dealt", watched)
+    got = geometry.contacts(spark.createDataFrame(items, ATOMS), spark.createDataFrame(receptors, ATOMS)).collect()
+    assert {(r.complex_id, r.item_type, r.receptor_type): r.n_contacts for r in got} == brute(items, receptors)
+    assert sizes[0][0] <= 8 * 1500 and sizes[0][1] <= 1500
