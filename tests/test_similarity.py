@@ -249,3 +249,60 @@ def test_native_similarity(spark):
     assert [(r.s, r.w, r.h) for r in got] == [(0.5, 0.5, 2), (0.0, 0.0, 0), (0.0, 0.0, 1)]
     high = spark.createDataFrame([([63, 64, 127],)], "a array<int>").select(fp.pack_words(F.col("a"), 2).alias("w")).first().w
     assert high == [-(2**63), 1 - 2**63]
+
+
+def test_text_fingerprint_equals_the_expression(spark):
+    """Short and missing texts, characters outside ASCII and of two UTF-16 units, and more characters than are numbered."""
+    r = random.Random(5)
+    some = "abc dé𝄞ñ\n\r \x00😀\t"
+    texts = [None, "", "a", "𝄞", "𝄞a", "𝄞bcd", *("".join(r.choice(some) for _ in range(r.randint(0, 12))) for _ in range(200))]
+    texts += ["".join(chr(0x4E00 + r.randrange(600)) for _ in range(400)) for _ in range(5)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (2048, 64):
+        for x in df.select(fp.fingerprint(fp.char_grams(F.col("t")), n).alias("a"), fp.text_fingerprint(F.col("t"), n).alias("b")).collect():
+            assert x.a == x.b
+
+
+def test_tile_pairs_are_dealt_over_tasks(spark, monkeypatch):
+    """What comes out of the pairs of tiles is much more than goes in, so small inputs are not put together in one task."""
+    monkeypatch.setattr(similarity, "TILE", 16)
+    df = spark.createDataFrame(prints(160), "id long, chunk int, bits array<int>").withColumn("chunk", F.lit(0))
+    pairs = similarity.similar_pairs(df, "chunk", "id", "bits", 0.1, 40)
+    tasks = pairs.select(F.spark_partition_id().alias("p"), "a").groupBy("p").count().count()
+    assert tasks > 3
+
+
+@pytest.mark.parametrize("words, k", [(1, 5), (1, 50), (3, 7), (1, 2000)])
+def test_nearest_keeps_ties_and_bounds(words, k):
+    r = np.random.default_rng(1)
+    train = r.integers(0, 2**63, (1500, words), dtype=np.uint64) & np.uint64(0xFFFF)
+    train[:300] = train[0]
+    query = train[::11]
+    code = np.bitwise_count(query[:, None, :] ^ train[None]).sum(axis=2, dtype=np.int64) * len(train) + np.arange(len(train))
+    code = np.sort(code, axis=1)[:, :k]
+    places, apart = similarity._nearest(query, train, k)
+    assert (places == code % len(train)).all() and (apart == code // len(train)).all()
+    bound = r.integers(0, 6, len(query))
+    places, apart = similarity._nearest(query, train, k, bound)
+    for p, a, b, c in zip(places, apart, bound, code):
+        assert (p[a <= b] + a[a <= b] * len(train)).tolist() == c[c // len(train) <= b].tolist()
+
+
+def test_blocks_return_only_rows_within_the_bound(spark, monkeypatch):
+    """All prints have one size, so no block is ruled out; the second round still returns few rows."""
+    monkeypatch.setattr(similarity, "TRAIN_BLOCK", 100)
+    r = random.Random(2)
+    rows = [(i, sorted(r.sample(range(64), 20)), 0.0) for i in range(2000)]
+    train = spark.createDataFrame(rows, "tid long, bits array<int>, y double")
+    query = spark.createDataFrame([(i, b) for i, b, _ in rows[:40]], "id long, bits array<int>")
+    met, out = similarity._in_blocks, []
+
+    def watched(*args):
+        out.append(met(*args))
+        return out[-1]
+
+    monkeypatch.setattr(similarity, "_in_blocks", watched)
+    got = similarity.nearest(query, train, 5, "id", "tid", "bits", "y", 64, 0).collect()
+    want = {(i, j) for i, b, _ in rows[:40] for _, j in sorted((len(set(b) ^ set(c)), j) for j, c, _ in rows)[:5]}
+    assert {(x.id, x.neighbour) for x in got} == want
+    assert out[0].count() < 40 * 20 * 5
