@@ -75,19 +75,24 @@ def _attribution_ranking(spark, sf):
 
 def prints(spark, sf):
     d = spread(table(spark, sf, "documents").select("doc_id", "text"))
-    return d.select(F.col("doc_id").alias("name"), F.col("text").alias("item"), fp.fingerprint(fp.char_grams(F.col("text")), WIDTH).alias("bits"))
+    return d.select(F.col("doc_id").alias("name"), F.col("text").alias("item"), fp.text_fingerprint(F.col("text"), WIDTH).alias("bits"))
 
 
-def labelled(spark, sf):
-    """All labelled documents as sparse fingerprints with their quality, written once."""
+def labelled(spark, sf, n_folds=None):
+    """All labelled documents as sparse fingerprints with their quality, written once; with ``n_folds`` also their fold.
+
+    Folds are dealt before texts become vectors, which are several times as long.
+    """
     y = table(spark, sf, "labels").select(F.col("doc_id").alias("name"), F.col("quality").cast("double").alias("y"))
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("name"), "text").join(y, "name")
-    known = d.select("name", "y", fp.fingerprint(fp.char_grams(F.col("text")), WIDTH).alias("bits"))
-    return stored(models.as_vector(known, "bits", n_bits=WIDTH).select("name", "features", "y"), "labelled")
+    d = d if n_folds is None else sampling.kfold(d, ["name"], n_folds)
+    kept = ["name", "y"] if n_folds is None else ["name", "y", "fold"]
+    known = d.select(*kept, fp.text_fingerprint(F.col("text"), WIDTH).alias("bits"))
+    return stored(models.as_vector(known, "bits", n_bits=WIDTH).select("name", "features", *kept[1:]), "labelled")
 
 
 def _fit_rows(spark, sf, fit):
-    data = stored(sampling.kfold(labelled(spark, sf), ["name"], 3), "folds")
+    data = labelled(spark, sf, 3)
     model = fit(data.filter("fold <> 0"))
     scored = model.transform(data).withColumn("held_out", F.col("fold") == 0)
     return stats.fit_report(scored, "y", "prediction", ["held_out"])

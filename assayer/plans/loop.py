@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from assayer.operators.joins import not_in
 from assayer.operators.ledger import fold, round_stats, STATS_SHARE, union_rounds
 from assayer.plans.consensus import select_top
-from assayer.plans.models import as_vector, batch_score
+from assayer.plans.models import library_vectors, score_vectors
 from assayer.session import fresh_path, stored
 
 
@@ -121,18 +121,18 @@ def run_rounds(
             raise RuntimeError(f"the scorer failed on {missing} items in round {number}")
         return out
 
-    # fingerprints are read in every round
-    prints = files.step("prints", 0, lambda: library.select("name", bits))
+    # fingerprints are read in every round, as vectors
+    vectors = files.step("vectors", 0, lambda: library_vectors(library, bits, n_bits=n_bits))
     first = scored(files.step("batch", 0, lambda: start.select("item", "name")), 0)
     k = first.count()
     ledger = files.step("ledger", 0, lambda: fold(first, first.limit(0)))
     history = [(0, ledger)]
     for number in range(1, rounds + 1):
         def chosen(ledger: DataFrame = ledger) -> DataFrame:
-            known = prints.join(ledger.select("name", F.col("score").alias("y")), "name")
-            train = stored(as_vector(known, bits, n_bits=n_bits).select("name", "features", "y"), "train")
+            known = vectors.join(ledger.select("name", F.col("score").alias("y")), "name")
+            train = stored(known.select("name", F.when(F.col("_known"), F.col("features")).alias("features"), "y"), "train")
             models = {label: fit(train) for label, fit in fits.items()}
-            preds = stored(batch_score(models, prints, bits, n_bits=n_bits), "preds")
+            preds = stored(score_vectors(models, vectors), "preds")
             best = select_top(preds, list(models), k)
             return library.join(not_in(best, ledger, "name").select("name"), "name", "left_semi").select("item", "name")
 

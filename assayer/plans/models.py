@@ -33,6 +33,8 @@ N_TRIALS, N_FOLDS = 50, 5
 CURVE_SHARES = [i / 10 for i in range(1, 11)]
 STOPPING_ROUNDS = 50
 PARALLEL_FITS = 4
+# rows of one part of a tree fit, which holds a number for every feature of a row
+TREE_ROWS = 16_384
 
 
 def as_vector(df: DataFrame, bits: str, out: str = "features", n_bits: int = N_BITS) -> DataFrame:
@@ -61,11 +63,20 @@ def fit_ridge(train: DataFrame, alpha: float, features: str = "features", label:
     return model
 
 
+def _parts(train: DataFrame, label: str) -> DataFrame:
+    """Features and label in even parts of ``TREE_ROWS`` rows; a table below that stays as it is.
+
+    Stored vectors are short, so a scan puts many in one task, where a tree fit unfolds them.
+    """
+    rows = train.count()
+    return train if rows <= TREE_ROWS else train.select("features", label).repartition(-(-rows // TREE_ROWS))
+
+
 def fit_forest(train: DataFrame, trees: int, depth: int, leaf: int = 1, columns: str = "sqrt", seed: int = 42, label: str = "y") -> Model:
     return RandomForestRegressor(
         featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
         featureSubsetStrategy=columns, maxBins=32, seed=seed,
-    ).fit(train)
+    ).fit(_parts(train, label))
 
 
 def fit_boosted(
@@ -83,8 +94,8 @@ def fit_boosted(
         subsamplingRate=subsample, featureSubsetStrategy=str(columns) if columns < 1 else "all", minInfoGain=gain, seed=seed,
     )
     if validation is None:
-        return est.fit(train)
-    rest, held = train.filter(~F.col(validation)), train.filter(validation)
+        return est.fit(_parts(train, label))
+    rest, held = _parts(train.filter(~F.col(validation)), label), train.filter(validation)
     whole = est.fit(rest)
     keep = patient_stop(whole.evaluateEachIteration(held, "squared"), patience)
     return whole if keep == rounds else est.setMaxIter(keep).fit(rest)
@@ -170,10 +181,19 @@ def load_model(spark: SparkSession, path: str) -> Model:
 
 def batch_score(models: Mapping[str, Model], library: DataFrame, bits: str, name: str = "name", n_bits: int = N_BITS) -> DataFrame:
     """``model, name, score`` of every library row in one scan; rows without a fingerprint get NULL."""
+    return score_vectors(models, library_vectors(library, bits, name, n_bits), name)
+
+
+def library_vectors(library: DataFrame, bits: str, name: str = "name", n_bits: int = N_BITS) -> DataFrame:
+    """``name, _known, features``: the vectors of a library, empty where there is no fingerprint; store them to score it often."""
     known = F.col(bits).isNotNull()
-    rows = as_vector(
+    return as_vector(
         library.select(name, known.alias("_known"), F.coalesce(bits, F.array().cast("array<int>")).alias(bits)), bits, n_bits=n_bits
     ).drop(bits)
+
+
+def score_vectors(models: Mapping[str, Model], rows: DataFrame, name: str = "name") -> DataFrame:
+    """:func:`batch_score` of rows from :func:`library_vectors`."""
     for label, model in models.items():
         rows = model.transform(rows).withColumnRenamed("prediction", f"_{label}")
     entries = [

@@ -262,3 +262,28 @@ def test_shared_folder_follows_the_session(spark):
     assert shared_dir(Session("hdfs://shared/folder")) == "hdfs://shared/folder"
     # unset: the session's checkpoint folder, made once
     assert shared_dir(Session(None)) == shared_dir(Session(None)) == spark.sparkContext.getCheckpointDir()
+
+
+def test_tree_fits_are_dealt_over_even_parts(spark, monkeypatch):
+    """Many short rows in one file part: no part of the fit holds more than its share."""
+    data = models.as_vector(spark.range(100).selectExpr("array(cast(id % 8 as int)) AS b", "double(id % 8) AS y").coalesce(1), "b", n_bits=8)
+    monkeypatch.setattr(models, "TREE_ROWS", 20)
+    parts = []
+    for est in (models.GBTRegressor, models.RandomForestRegressor):
+        monkeypatch.setattr(est, "fit", lambda self, df: parts.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]))
+    models.fit_boosted(data, rounds=1, depth=1)
+    models.fit_forest(data, trees=1, depth=1)
+    assert [len(p) for p in parts] == [5, 5] and max(map(max, parts)) <= 25
+
+
+def test_rounds_make_vectors_once(spark, monkeypatch):
+    """Two rounds with a model each: the library becomes vectors once, not in every fit and every scoring."""
+    library = spark.createDataFrame([(i, f"text {i}", [i % 8, 8 + i % 3]) for i in range(40)], "name long, item string, bits array<int>")
+    made, as_vector = [], models.as_vector
+    monkeypatch.setattr(models, "as_vector", lambda *a, **k: made.append(1) or as_vector(*a, **k))
+
+    def score(batch):
+        return batch.select("item", "name", (-(F.col("name") % 7) - 1.0).alias("score"))
+
+    ledger, _ = loop.run_rounds(library, library.filter("name < 6"), score, {"rf": lambda d: models.fit_forest(d, 2, 2)}, 2, n_bits=16)
+    assert ledger.count() > 6 and len(made) == 1
