@@ -34,7 +34,7 @@ CURVE_SHARES = [i / 10 for i in range(1, 11)]
 STOPPING_ROUNDS = 50
 PARALLEL_FITS = 4
 # rows of one part of a tree fit, which holds a number for every feature of a row
-TREE_ROWS = 16_384
+TREE_ROWS = 4096
 
 
 def as_vector(df: DataFrame, bits: str, out: str = "features", n_bits: int = N_BITS) -> DataFrame:
