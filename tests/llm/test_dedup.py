@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +282,55 @@ def test_hot_anchor_is_split_before_the_shuffle(docs_of, monkeypatch, length):
     assert removal(docs_of(rows), length) == want
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_suffix_order_by_plain_sorts(monkeypatch, packed):
+    if not packed:  # as with texts so long that key and place do not fit one number
+        places = repeats.sorted_places
+        monkeypatch.setattr(repeats, "sorted_places", lambda key, bits: places(key, 63))
+    rng = random.Random(9)
+    for letters in (b"ab", b"\0\xff", bytes(range(200))):
+        core = bytes(rng.choice(letters) for _ in range(300))
+        text = core + b"#" + core[:200] + core[50:]
+        for depth in (1, 7, 64, 1000):
+            order = repeats.suffix_order(np.frombuffer(text, np.uint8), depth).tolist()
+            assert sorted(order) == list(range(len(text)))
+            cut = [text[i : i + depth] for i in order]
+            assert cut == sorted(cut)
+
+
+def test_pieces_alone_with_a_longer_anchor_skip_the_transform(monkeypatch):
+    rng = random.Random(10)
+    text = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    core, near, length = text(48), text(400), 400
+    pieces = [text(300) + core + text(300) for _ in range(30)]  # these share 48 bytes and no window
+    pieces += [text(100) + near[:200] + core + near[200:] + text(100) for _ in range(2)]
+    pieces += [pieces[-1], pieces[-1] + text(50)]
+    rows = [(i, 0, 5, len(t) - length + 1, 300, length - 48, 7, t) for i, t in enumerate(pieces)]
+    columns = ["doc_id", "copy", "low", "windows", "lead", "slack", "anchor", "piece"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(columns, r)) for r in rows])
+    windows, compared = repeats.repeated_windows, []
+    monkeypatch.setattr(repeats, "repeated_windows", lambda texts, n: compared.extend(texts) or windows(texts, n))
+    got = {
+        (r["doc_id"], w)
+        for out in repeats._transform(iter([batch]), length) for r in out.to_pylist() for w in range(r["low"], r["high"])
+    }
+    want = {(i, 5 + k) for i, flags in enumerate(windows(pieces, length)) for k in np.flatnonzero(flags).tolist()}
+    assert got == want and {i for i, _ in got} == {30, 31, 32, 33}
+    assert compared and all(core in t and near[150:200] in t for t in compared)
+
+
+def test_long_passages_go_and_clean_documents_stay(docs_of):
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    long, short = words(55), words(45)  # 439 and 359 bytes
+    rows = [(i, f"{words(60)}{i}{long}{i}{words(40)}") for i in range(6)]
+    rows += [(10 + i, f"{words(60)}{i}{short}{i}{words(40)}") for i in range(6)] + [(20 + i, words(150)) for i in range(6)]
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(docs_of(rows)).collect()}
+    for i, text in rows:
+        kept = text.replace(long, "") if i < 10 else text
+        assert got[i]["n_removed"] == len(text) - len(kept) and bytes(got[i]["kept_text"]).decode() == kept
+
+
 def test_halves_keep_equal_windows_together():
     rng = random.Random(8)
     text = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
