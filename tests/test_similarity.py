@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,3 +307,67 @@ def test_blocks_return_only_rows_within_the_bound(spark, monkeypatch):
     want = {(i, j) for i, b, _ in rows[:40] for _, j in sorted((len(set(b) ^ set(c)), j) for j, c, _ in rows)[:5]}
     assert {(x.id, x.neighbour) for x in got} == want
     assert out[0].count() < 40 * 20 * 5
+
+
+@pytest.mark.parametrize("width, cutoff", [(40, 0.6), (40, 0.9), (4000, 0.3)])
+def test_edges_are_not_stored_one_by_one(spark, monkeypatch, width, cutoff):
+    """A chunk of alike points has a number of edges that is quadratic; what is written grows with the points."""
+    counts, write = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, label: counts.append((kept := write(df, label)).count()) or kept)
+    rows = [(i, 0, bits[: width // 4]) for i, _, bits in prints(300, width)]
+    df = spark.createDataFrame(rows, "id long, chunk int, bits array<int>")
+    found = similarity.cluster_chunks(df, "chunk", "id", "bits", cutoff, n_bits=width).collect()
+    assert max(counts) <= 300
+    want = greedy(rows, cutoff)
+    assert sorted(r.founder for r in found if r.place == 0) == sorted(c[0] for c in want)
+
+
+def test_shelves_change_nothing(df, rows, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 7)
+    monkeypatch.setattr(similarity, "SHELF_FROM", 0)
+    packed = similarity.packed(df, ["chunk", "id"], "bits", 40)
+    plain, dealt = (similarity.tiles(packed, ["chunk"], "id", 0.3, shelves=s).count() for s in (False, True))
+    assert dealt < plain
+    bits = {i: x for i, _, x in rows}
+    found = similarity.cluster_chunks(df, "chunk", "id", "bits", 0.6, n_bits=40).collect()
+    for c in (0, 1):
+        for k, members in enumerate(greedy([r for r in rows if r[1] == c], 0.6)):
+            own = [r for r in found if r.chunk == c and r.cluster == k]
+            assert [r.id for r in sorted(own, key=lambda r: r.place)] == members
+            assert [i for _, i in sorted((r.pick, r.id) for r in own if r.pick is not None)] == diverse(members, bits)
+
+
+def test_a_long_chain_is_settled(spark):
+    """Every second point of a path founds a cluster, however long it is."""
+    edges = spark.range(2500).selectExpr("0 AS chunk", "cast(id AS int) AS low", "cast(id + 1 AS int) AS high")
+    got = sorted((r.rank, r.of) for r in similarity._founders(edges).collect())
+    assert got == [(v, v - 1) for v in range(1, 2501, 2)]
+
+
+def test_bits_and_lists_of_edges_are_one():
+    r = random.Random(5)
+    a, b = np.arange(100, 170), np.arange(200, 263)
+    bits = np.array([[r.random() < 0.1 for _ in b] for _ in a])
+    i, j = np.nonzero(bits)
+    order = [*a.tolist(), *b.tolist()]
+    r.shuffle(order)
+    points = pd.DataFrame({"id": order, "rank": range(1, len(order) + 1)})
+    blocks = [(a, b, np.packbits(bits, axis=1).tobytes()), (a[i], b[j], None)]
+    one, other = (similarity._visited(pd.DataFrame([x], columns=["a", "b", "near"]), points) for x in blocks)
+    beside = {v: set() for v in order}
+    for x, y in zip(a[i].tolist(), b[j].tolist()):
+        beside[x].add(y)
+        beside[y].add(x)
+    free, want = set(order), [-1] * (len(order) + 1)
+    for k, v in enumerate(order, 1):
+        if v in free:
+            for w in beside[v] & free:
+                want[order.index(w) + 1] = k
+            free -= beside[v] | {v}
+    assert one.tolist() == other.tolist() == want
+
+
+def test_similar_rows_of_one_id_are_an_error(spark):
+    twice = spark.createDataFrame([(1, 0, [1, 2]), (1, 0, [1, 2])], "id long, chunk int, bits array<int>")
+    with pytest.raises(Exception, match="same id"):
+        similarity.cluster_chunks(twice, "chunk", "id", "bits", 0.6, n_bits=40).collect()
