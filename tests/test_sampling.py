@@ -68,3 +68,31 @@ def test_selection_end_to_end(spark):
     df = spark.createDataFrame(rows, "id long, item string, a double, b double")
     got = selection.select_start(df, ["a", "b"], "id", "item", sampling.start_plan(df.count(), 0.2))
     assert 0 < got.count() <= 60 and got.select("item").distinct().count() == got.count()
+
+
+def test_uniform_start_is_labelled(spark, monkeypatch):
+    """A huge library is drawn uniformly, and its rows come with their bins in the whole library."""
+    monkeypatch.setattr(sampling, "HUGE_LIBRARY", 250)
+    rows = [(i, f"item {i}", None if i % 50 == 7 else float(i % 9), math.nan if i % 50 == 8 else float(i % 4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, item string, a double, b double")
+    plan = sampling.start_plan(300, 0.2)
+    assert plan.method == "uniform"
+    labels = {r.id: r.bin_label for r in selection.binned(df, ["a", "b"], plan.bins).collect()}
+    for share in (plan.share, 1.0):
+        got = selection.select_start(df, ["a", "b"], "id", "item", plan._replace(share=share))
+        assert got.columns == [*df.columns, "bin_label"]
+        found = {r.id: r.bin_label for r in got.collect()}
+        assert len(found) == got.count() == int(share * 300)
+        assert set(found) == {r.id for r in sampling.share_sample(df, ["id"], share).collect()}
+        assert all(found[i] == labels.get(i) for i in found)
+    assert found[7] is None and found[8] is None and found[9] is not None
+
+
+def test_select_start_query_on_a_huge_library(spark, sf, monkeypatch):
+    from assayer.catalog import QUERIES
+
+    monkeypatch.setattr(sampling, "HUGE_LIBRARY", 100)
+    got = QUERIES["select_start"](spark, sf)
+    rows = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert got.columns == ["doc_id", "bin_label"] and got.count() == int(rows * sampling.HUGE_SHARE)
+    assert got.filter("bin_label IS NULL").count() == 0
